@@ -2,5 +2,571 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import schema, synth
+from ..functions import text
+from ..graph import FactSet, apply_overlay, checksum, compatibility, edge_changes, key_changes
+from ..operators import components, diff, export, link, lookup, maintain, stats, traverse, vector
+from ..streaming import evidence
+from .workload import ctes, facts, graph, sql, tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+NODE = "node_id, kind, path, name, qualified_name"
+NODE_COLS = NODE.split(", ")
+CALLS = ", ".join(f"'{r}'" for r in sorted(schema.call_relations()))
+IMPACT = ", ".join(f"'{r}'" for r in sorted(schema.IMPACT_RELATIONS))
+ARCH = ", ".join(f"'{r}'" for r in sorted(schema.ARCHITECTURE_RELATIONS))
+
+
+def _pick(spark: SparkSession, d: str, kind: str, name: str) -> int:
+    return graph(spark, d).nodes.where((F.col("kind") == kind) & (F.col("name") == name)).select("node_id").first()[0]
+
+
+def _supplier(spark: SparkSession, d: str) -> int:
+    """The supplier with the smallest node id."""
+    return graph(spark, d).nodes.where("kind = 'module'").agg(F.min("node_id")).first()[0]
+
+
+def _orders(spark: SparkSession, d: str, n: int = 3) -> list[int]:
+    """The orders with the smallest node ids."""
+    return [r[0] for r in graph(spark, d).nodes.where("kind = 'function'").select("node_id").orderBy("node_id").limit(n).collect()]
+
+
+SUPPLIER = "(SELECT min(node_id) FROM n WHERE kind = 'module')"
+ORDERS = "(SELECT node_id FROM n WHERE kind = 'function' ORDER BY node_id LIMIT 3)"
+
+
+def bfs(starts: str, relations: str, direction: str = "outgoing", depth: int = 12) -> str:
+    """CTEs that end in ``b(node_id, depth)``: one row a node and level, then the least level."""
+    a, b = ("src", "dst") if direction == "outgoing" else ("dst", "src")
+    return f""", we AS (SELECT DISTINCT {a} AS x, {b} AS y FROM e WHERE relation IN ({relations})),
+      r(node_id, depth) AS (SELECT node_id, 0 FROM ({starts}) UNION SELECT y, depth + 1 FROM r JOIN we ON x = node_id WHERE depth < {depth}),
+      b AS (SELECT node_id, min(depth) AS depth FROM r GROUP BY node_id)"""
+
+
+# Counts
+
+
+@query(sql("SELECT 'nodes' AS section, kind AS name, count(*) AS count FROM n GROUP BY kind UNION ALL SELECT 'edges', relation, count(*) FROM e GROUP BY relation UNION ALL SELECT 'unresolved', reason, count(*) FROM u GROUP BY reason"))
+def a1_stats(spark, d):
+    return stats.stats(graph(spark, d))
+
+
+@query(sql("SELECT kind, count(*) AS count FROM n GROUP BY kind"))
+def a2_node_kinds(spark, d):
+    return stats.node_kinds(graph(spark, d))
+
+
+@query(sql("SELECT reason, count(*) AS count, count(*) FILTER (relation = 'calls') AS calls FROM u GROUP BY reason"))
+def a3_unresolved_reasons(spark, d):
+    return stats.unresolved_reasons(graph(spark, d))
+
+
+@query(sql("SELECT count(*) FILTER (relation = 'calls') AS resolved, count(*) FILTER (relation = 'possible-calls') AS possible, (SELECT count(*) FROM u WHERE relation = 'calls') AS unresolved, round(count(*) FILTER (relation = 'calls') / (count(*) FILTER (relation IN ('calls', 'possible-calls')) + (SELECT count(*) FROM u WHERE relation = 'calls')), 6) AS resolved_share FROM e"))
+def a1_call_resolution(spark, d):
+    return stats.call_resolution(graph(spark, d))
+
+
+@query(sql(f"SELECT 'outgoing' AS direction, relation, count(*) AS count FROM e WHERE src = {SUPPLIER} GROUP BY relation UNION ALL SELECT 'incoming', relation, count(*) FROM e WHERE dst = {SUPPLIER} GROUP BY relation"))
+def a4_relation_counts(spark, d):
+    return traverse.relation_counts(graph(spark, d), _supplier(spark, d))
+
+
+@query(sql("SELECT node_id, count(*) FILTER (i) AS incoming, count(*) FILTER (NOT i) AS outgoing, count(*) AS degree FROM (SELECT src AS node_id, false AS i FROM e UNION ALL SELECT dst, true FROM e) GROUP BY node_id"))
+def a5_degrees(spark, d):
+    return stats.degrees(graph(spark, d))
+
+
+@query(sql("SELECT node_id, incoming, outgoing, degree FROM (SELECT node_id, count(*) FILTER (i) AS incoming, count(*) FILTER (NOT i) AS outgoing, count(*) AS degree FROM (SELECT src AS node_id, false AS i FROM e UNION ALL SELECT dst, true FROM e) GROUP BY node_id) ORDER BY degree DESC, node_id LIMIT 25"))
+def w12_hottest(spark, d):
+    return stats.hottest(graph(spark, d), 25)
+
+
+@query(sql("SELECT (SELECT count(*) FROM n) AS node_count, (SELECT count(*) FROM e) AS edge_count"))
+def a7_checksum(spark, d):
+    g = graph(spark, d)
+    return checksum(g.nodes, g.edges).select("node_count", "edge_count")
+
+
+@query("SELECT 'relation' AS category, event_type AS value, count(*) AS count FROM events WHERE event_type NOT IN ('calls', 'reads') GROUP BY event_type UNION ALL SELECT 'reason', event_type, count(*) FROM events GROUP BY event_type UNION ALL SELECT 'kind', lang, count(*) FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def a8_compatibility(spark, d):
+    t = tables(spark, d)
+    e = t["events"].select(F.col("event_type").alias("relation"), F.col("event_type").alias("reason"))
+    return compatibility(FactSet(t["documents"].select(F.col("lang").alias("kind")), e, e))
+
+
+# Lookups
+
+
+@query(sql(f"SELECT {NODE} FROM n WHERE name = 'order_1' AND kind = 'function'"))
+def f1_resolve_symbol(spark, d):
+    return lookup.resolve_symbol(graph(spark, d), "order_1", "function").select(*NODE_COLS)
+
+
+@query(sql(f"SELECT {NODE} FROM n WHERE kind = 'file' AND path = (SELECT cpath FROM cu WHERE c_custkey = 7)"))
+def f2_resolve_file(spark, d):
+    g = graph(spark, d)
+    path = g.nodes.where("kind = 'file' and path like '%/c7.cust'").select("path").first()[0]
+    return lookup.resolve_file(g, path.replace("/", "//./")).select(*NODE_COLS)
+
+
+@query(sql(f"SELECT {NODE} FROM n WHERE kind = 'module' AND (path = 'r1' OR starts_with(path, 'r1/')) ORDER BY node_id LIMIT 20 OFFSET 5"))
+def f3_list_nodes(spark, d):
+    return lookup.list_nodes(graph(spark, d), "module", "r1", 5, 20).select(*NODE_COLS)
+
+
+@query(sql("SELECT u.* FROM u JOIN n ON n.node_id = source_node_id WHERE reason = 'external-target' AND path = (SELECT cpath FROM cu WHERE c_custkey = 7)"))
+def f4_unresolved(spark, d):
+    g = graph(spark, d)
+    path = g.nodes.where("kind = 'file' and path like '%/c7.cust'").select("path").first()[0]
+    return lookup.unresolved(g, path=path, reason="external-target", limit=10_000)
+
+
+@query(sql(f"SELECT {NODE} FROM n WHERE node_id = {SUPPLIER}"))
+def f5_entry(spark, d):
+    return lookup.entry(graph(spark, d), _supplier(spark, d)).select(*NODE_COLS)
+
+
+@query(sql("SELECT node_id FROM n WHERE kind = 'repository'"))
+def f6_node_by_key(spark, d):
+    g = graph(spark, d)
+    return lookup.by_key(g, g.nodes.where("kind = 'repository'").first()["key"])
+
+
+_SEARCH = "'ORDER_12'"
+
+
+@query(sql("""SELECT node_id, rank, list_filter([CASE WHEN a < 99 THEN 'name' END, CASE WHEN b < 99 THEN 'qualified_name' END, CASE WHEN c < 99 THEN 'path' END], lambda x: x IS NOT NULL) AS matched_fields
+  FROM (SELECT *, least(a, b, c) AS rank FROM (SELECT node_id, path, qualified_name,
+    CASE WHEN lower(name) = 'order_12' THEN 0 WHEN starts_with(lower(name), 'order_12') THEN 3 WHEN contains(lower(name), 'order_12') THEN 6 ELSE 99 END AS a,
+    CASE WHEN lower(qualified_name) = 'order_12' THEN 1 WHEN starts_with(lower(qualified_name), 'order_12') THEN 4 WHEN contains(lower(qualified_name), 'order_12') THEN 7 ELSE 99 END AS b,
+    CASE WHEN lower(path) = 'order_12' THEN 2 WHEN starts_with(lower(path), 'order_12') THEN 5 WHEN contains(lower(path), 'order_12') THEN 8 ELSE 99 END AS c FROM n))
+  WHERE rank < 99 ORDER BY rank, qualified_name, path, node_id LIMIT 50"""))
+def t1_search_nodes(spark, d):
+    return lookup.search_nodes(graph(spark, d), " ORDER_12 ", 50).select("node_id", "rank", "matched_fields")
+
+
+@query(sql("""SELECT name, rank FROM (SELECT name, qualified_name, path, key, CASE WHEN 'france' IN (lower(qualified_name), lower(name), lower(path), lower(kind)) THEN CASE WHEN 'france' IN (qualified_name, name, path, kind) THEN 0 ELSE 1 END
+  WHEN starts_with(lower(name), 'france') OR starts_with(lower(qualified_name), 'france') OR starts_with(lower(path), 'france') THEN 2
+  WHEN contains(lower(name), 'france') OR contains(lower(qualified_name), 'france') OR contains(lower(path), 'france') THEN 3 END AS rank FROM n) WHERE rank IS NOT NULL"""))
+def f9_find(spark, d):
+    return lookup.find(facts(spark, d).nodes, "france", 1000).select("name", "rank")
+
+
+@query(sql("SELECT 'outgoing' AS direction, relation, b AS id FROM re WHERE a = (SELECT key FROM n WHERE name = 'order_1') UNION SELECT CASE WHEN a = b THEN 'outgoing' ELSE 'incoming' END, relation, CASE WHEN a = b THEN b ELSE a END FROM re WHERE b = (SELECT key FROM n WHERE name = 'order_1') UNION ALL SELECT 'unresolved', relation, NULL FROM u WHERE source_node_id = (SELECT node_id FROM n WHERE name = 'order_1')"))
+def j12_refs(spark, d):
+    f = facts(spark, d)
+    return lookup.refs(f.nodes, f.edges, f.unresolved, lookup.resolve(f.nodes, "order_1")).select("direction", "relation", "id")
+
+
+@query(sql(f"SELECT node_id, relation, kind, name FROM (SELECT src AS node_id, relation, code FROM e WHERE dst = {SUPPLIER} ORDER BY src, code LIMIT 1600) JOIN n USING (node_id) WHERE relation = 'depends-on' ORDER BY node_id, code LIMIT 100"))
+def g1_neighbors(spark, d):
+    return lookup.neighbors(graph(spark, d), _supplier(spark, d), "incoming", ["depends-on"], 100).select("node_id", "relation", "kind", "name")
+
+
+@query(sql("SELECT node_id FROM n WHERE kind = 'type' INTERSECT SELECT dst FROM e WHERE relation = 'references'"))
+def x2_intersect(spark, d):
+    g = graph(spark, d)
+    return g.nodes.where("kind = 'type'").select("node_id").join(g.edges.where("relation = 'references'").select(F.col("dst").alias("node_id")), "node_id", "left_semi")
+
+
+@query(sql("SELECT node_id, name FROM n WHERE kind NOT IN ('repository', 'directory', 'field', 'variable', 'parameter', 'import', 'export', 'constant', 'test')"))
+def f14_eligible(spark, d):
+    return vector.eligible(graph(spark, d).nodes).select("node_id", "name")
+
+
+# Traversals
+
+
+@query(sql(f"{bfs(ORDERS, CALLS)} SELECT node_id, depth FROM b ORDER BY depth, node_id LIMIT 1000"))
+def g4_reachability(spark, d):
+    return traverse.reachability(graph(spark, d), _orders(spark, d)).select("node_id", "depth")
+
+
+@query(sql(f"{bfs(f'SELECT {SUPPLIER} AS node_id', IMPACT, 'incoming')} SELECT node_id, depth, kind, name FROM b JOIN n USING (node_id) WHERE node_id <> {SUPPLIER} ORDER BY depth, node_id LIMIT 10000"))
+def g5_impact(spark, d):
+    return traverse.impact(graph(spark, d), _supplier(spark, d), limit=10_000).select("node_id", "depth", "kind", "name")
+
+
+@query(sql(f"{bfs(ORDERS, CALLS)} SELECT node_id, name FROM n WHERE kind IN ('function', 'method', 'constructor') AND node_id NOT IN (SELECT node_id FROM b) ORDER BY node_id LIMIT 10000"))
+def g6_dead_symbols(spark, d):
+    return traverse.dead_symbols(graph(spark, d), _orders(spark, d), limit=10_000).select("node_id", "name")
+
+
+@query(sql(f"{bfs(ORDERS, CALLS, depth=20)} SELECT node_id, depth FROM b"))
+def g3_distances_shuffled(spark, d):
+    """The distributed form of the search, whatever the size of the graph."""
+    return traverse.distances(graph(spark, d), _orders(spark, d), "outgoing", schema.call_relations(), 20, local_edges=0)
+
+
+_PATHS = f""", st AS (SELECT min(node_id) AS s FROM n WHERE kind = 'function' AND node_id IN (SELECT src FROM e WHERE relation = 'calls')),
+  w AS (SELECT src, dst, o, relation FROM e WHERE relation IN ('calls', 'references', 'possible-calls', 'depends-on')),
+  tg AS (SELECT min(node_id) AS t FROM n WHERE kind = 'module' AND node_id IN (SELECT y.dst FROM w x JOIN w y ON x.dst = y.src, st WHERE x.src = s)),
+  p(pos, nodes, steps, rels, stop) AS (SELECT s, [s], [] :: INT[][], [] :: VARCHAR[], s = t FROM st, tg
+    UNION ALL SELECT dst, list_append(nodes, dst), list_append(steps, [dst, o]), list_append(rels, relation), dst = t FROM p JOIN w ON src = pos, tg WHERE NOT stop AND len(steps) < 4 AND NOT list_contains(nodes, dst))
+  SELECT CAST(len(rels) AS INT) AS depth, nodes, rels AS relations FROM p WHERE stop ORDER BY steps LIMIT 50"""
+
+
+def _path_ends(spark, d):
+    g = graph(spark, d)
+    s = g.nodes.where("kind = 'function'").join(g.edges.where("relation = 'calls'").select(F.col("src").alias("node_id")), "node_id", "left_semi").agg(F.min("node_id")).first()[0]
+    w = g.edges.where(F.col("relation").isin("calls", "references", "possible-calls", "depends-on"))
+    two = w.where(F.col("src") == s).select(F.col("dst").alias("m")).join(w.select(F.col("src").alias("m"), F.col("dst").alias("node_id")), "m")
+    t = g.nodes.where("kind = 'module'").join(two, "node_id", "left_semi").agg(F.min("node_id")).first()[0]
+    return g, s, t
+
+
+@query(sql(_PATHS))
+def g7_paths(spark, d):
+    g, s, t = _path_ends(spark, d)
+    return traverse.paths(g, s, t, ["calls", "references", "possible-calls", "depends-on"], 4, 50).select("depth", "nodes", "relations")
+
+
+@query(sql(_PATHS.replace("len(steps) < 4", "len(steps) < 3").replace("ORDER BY steps LIMIT 50", "AND len(rels) = (SELECT min(len(rels)) FROM p WHERE stop) ORDER BY steps LIMIT 1")))
+def g8_shortest_chain(spark, d):
+    g, s, t = _path_ends(spark, d)
+    return traverse.shortest_call_chain(g, s, t, relations=["calls", "references", "possible-calls", "depends-on"]).select("depth", "nodes", "relations")
+
+
+_COMP = f""", ae AS (SELECT src, dst, relation FROM e WHERE relation IN ('calls')), be AS (SELECT src AS x, dst AS y FROM ae UNION SELECT dst, src FROM ae),
+  c0(node_id, c) AS (SELECT node_id, node_id FROM n WHERE kind = 'function' UNION SELECT y, c FROM c0 JOIN be ON x = node_id WHERE c < y),
+  comp AS (SELECT node_id, min(c) AS component FROM c0 GROUP BY node_id)"""
+
+
+@query(sql(f"{_COMP} SELECT node_id, component FROM comp"))
+def g11_components(spark, d):
+    g = graph(spark, d)
+    e = g.edges.where("relation = 'calls'")
+    return components.components(g.nodes.where("kind = 'function'").select("node_id"), e, g.edge_counts()["calls"])
+
+
+@query(sql(f"{_COMP} SELECT component, count(*) AS nodes FROM comp GROUP BY component"))
+def g11_components_shuffled(spark, d):
+    g = graph(spark, d)
+    c = components.components(g.nodes.where("kind = 'function'").select("node_id"), g.edges.where("relation = 'calls'"))
+    return c.groupBy("component").agg(F.count("*").alias("nodes"))
+
+
+_ARCH = """, sel AS (SELECT node_id FROM n WHERE path = 'r1' OR starts_with(path, 'r1/')),
+  ie AS (SELECT e.* FROM e WHERE relation = 'calls' AND src IN (FROM sel) AND dst IN (FROM sel)), be AS (SELECT src AS x, dst AS y FROM ie UNION SELECT dst, src FROM ie),
+  c0(node_id, c) AS (SELECT node_id, node_id FROM sel UNION SELECT y, c FROM c0 JOIN be ON x = node_id WHERE c < y),
+  comp AS (SELECT node_id, min(c) AS component FROM c0 GROUP BY node_id),
+  sz AS (SELECT component, count(*) AS nodes FROM comp GROUP BY component),
+  ed AS (SELECT component, count(*) AS edges FROM ie JOIN comp ON node_id = src GROUP BY component),
+  dg AS (SELECT node_id, count(*) AS k FROM (SELECT src AS node_id FROM ie UNION ALL SELECT dst FROM ie WHERE src <> dst) GROUP BY node_id),
+  rp AS (SELECT component, list(node_id ORDER BY k DESC, node_id) AS l FROM (SELECT component, node_id, coalesce(k, 0) AS k FROM comp LEFT JOIN dg USING (node_id)) GROUP BY component)
+  SELECT component, nodes, coalesce(edges, 0) AS edges, l[1:5] AS representatives FROM sz LEFT JOIN ed USING (component) JOIN rp USING (component)
+  WHERE nodes >= 2 ORDER BY nodes DESC, edges DESC, component LIMIT 200"""
+
+
+@query(sql(_ARCH))
+def g11_architecture_summary(spark, d):
+    return components.summary(graph(spark, d), "r1", ["calls"], 2, 200)[1].select("component", "nodes", "edges", "representatives")
+
+
+@query(sql(f"""{_COMP} SELECT component, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '.' END AS value, count(*) AS count FROM comp JOIN n USING (node_id) GROUP BY ALL"""))
+def a6_community_paths(spark, d):
+    g = graph(spark, d)
+    c = components.components(g.nodes.where("kind = 'function'").select("node_id"), g.edges.where("relation = 'calls'"), g.edge_counts()["calls"])
+    return components.community_counts(g, c, "parent_path")
+
+
+_EXPORT = ", pg AS (SELECT node_id FROM n ORDER BY node_id LIMIT 500 OFFSET 100), ids AS (SELECT * FROM pg UNION SELECT min(node_id) FROM n WHERE kind = 'module')"
+
+
+@query(sql(f"{_EXPORT} SELECT src || ':' || relation || ':' || dst AS edge_id, src, dst, relation FROM e WHERE src IN (FROM ids) AND dst IN (FROM ids)"))
+def g12_export_graph(spark, d):
+    return export.export_graph(graph(spark, d), None, 100, 500, [_supplier(spark, d)])[1]
+
+
+_DIFF = f"""WITH {ctes()}, {ctes(" WHERE o_orderkey % 10 <> 0", "CASE WHEN c_mktsegment = 'BUILDING' THEN 'renamed_' || c_name ELSE c_name END", "2")},
+  s1 AS (SELECT a, string_agg(b || relation, ',' ORDER BY b, relation) AS l FROM re GROUP BY a), s2 AS (SELECT a, string_agg(b || relation, ',' ORDER BY b, relation) AS l FROM re2 GROUP BY a)
+  SELECT coalesce(x.key, y.key) AS key, CASE WHEN y.key IS NULL THEN 'removed' WHEN x.key IS NULL THEN 'added' ELSE 'metadata_changed' END AS change
+  FROM n x FULL JOIN n2 y ON x.key = y.key WHERE x.key IS NULL OR y.key IS NULL OR x.name <> y.name
+  UNION ALL SELECT n.key, 'relationship_changed' FROM n JOIN n2 USING (key) LEFT JOIN s1 ON s1.a = n.key LEFT JOIN s2 ON s2.a = n.key WHERE s1.l IS DISTINCT FROM s2.l"""
+
+
+@query(_DIFF)
+def g13_diff(spark, d):
+    return diff.diff(graph(spark, d, 2), graph(spark, d))
+
+
+_TWO = f"WITH {ctes()}, {ctes(' WHERE o_orderkey % 10 <> 0', s='2')}"
+
+
+@query(f"{_TWO} SELECT 'removed' AS side, a AS source, b AS target, relation FROM re WHERE (a, b, relation) NOT IN (SELECT a, b, relation FROM re2) UNION ALL SELECT 'added', a, b, relation FROM re2 WHERE (a, b, relation) NOT IN (SELECT a, b, relation FROM re)")
+def j5_edge_changes(spark, d):
+    old, new = (facts(spark, d, v).edges.select(F.col("source").alias("src"), F.col("target").alias("dst"), "relation") for v in (1, 2))
+    added, removed = edge_changes(old, new)
+    out = removed.withColumn("side", F.lit("removed")).unionByName(added.withColumn("side", F.lit("added")))
+    return out.select("side", F.col("src").alias("source"), F.col("dst").alias("target"), "relation")
+
+
+@query(f"{_TWO} SELECT 'removed' AS side, key FROM n WHERE key NOT IN (SELECT key FROM n2) UNION ALL SELECT 'added', key FROM n2 WHERE key NOT IN (SELECT key FROM n)")
+def j6_key_changes(spark, d):
+    added, removed = key_changes(graph(spark, d).nodes, graph(spark, d, 2).nodes)
+    return removed.withColumn("side", F.lit("removed")).unionByName(added.withColumn("side", F.lit("added"))).select("side", "key")
+
+
+@query(sql("SELECT relation, count(*) AS count, sum(CAST(src AS BIGINT) + dst) AS s FROM (SELECT src, dst, relation FROM e WHERE (src + dst) % 7 <> 0 UNION ALL SELECT dst, src, 'similar-to' FROM e WHERE (src + dst) % 11 = 0 AND relation = 'calls') GROUP BY relation"))
+def x4_overlay(spark, d):
+    g = graph(spark, d)
+    removed = g.edges.where("(src + dst) % 7 = 0")
+    added = g.edges.where("(src + dst) % 11 = 0 and relation = 'calls'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("similar-to").alias("relation"), F.lit(24).cast("short").alias("code"))
+    return apply_overlay(g.edges, added, removed).groupBy("relation").agg(F.count("*").alias("count"), F.sum(F.col("src").cast("long") + F.col("dst")).alias("s"))
+
+
+@query(sql("SELECT key, node_id FROM n"))
+def w1_dense_ids(spark, d):
+    return graph(spark, d).nodes.select("key", "node_id")
+
+
+@query(sql("SELECT src, dst, relation, code FROM e"))
+def g18_compile_edges(spark, d):
+    return graph(spark, d).edges.select("src", "dst", "relation", "code")
+
+
+@query(sql("SELECT rank, node_id, relation, other FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY p, relation, other) AS rank FROM (SELECT src AS node_id, relation, dst AS other, CASE relation WHEN 'calls' THEN 0 WHEN 'handled-by' THEN 0 WHEN 'possible-calls' THEN 1 WHEN 'depends-on' THEN 3 WHEN 'defines' THEN 4 WHEN 'contains' THEN 4 ELSE 5 END AS p FROM e)) WHERE rank <= 12"))
+def w11_top_edges(spark, d):
+    from ..graph import coded
+
+    e = graph(spark, d).edges.withColumn("priority", coded(F.col("relation"), schema.RELATION_PRIORITY))
+    return lookup.per_node_top(e, 12).select(F.col("n").cast("long").alias("rank"), F.col("src").alias("node_id"), "relation", F.col("dst").alias("other"))
+
+
+# Ownership, dependencies, plans
+
+
+@query(sql("SELECT DISTINCT regexp_replace(x.path, '^$', '') AS file, y.path AS needs FROM e JOIN n x ON x.node_id = src JOIN n y ON y.node_id = dst WHERE contains(string_split(x.path, '/')[-1], '.') AND contains(string_split(y.path, '/')[-1], '.') AND x.path <> '.' AND y.path <> '.' AND x.path <> y.path"))
+def j13_file_dependencies(spark, d):
+    f = facts(spark, d)
+    owner = F.when(F.col("path") != ".", maintain.node_path_owner(F.col("path"), F.col("kind")))
+    n = f.nodes.withColumn("owner", owner)
+    e = f.edges.join(n.select(F.col("id").alias("source"), "owner"), "source")
+    return maintain.file_dependencies(FactSet(n, e, f.unresolved))
+
+
+@query("SELECT language, full_scan AS \"full\", changed_files FROM (SELECT CASE CAST(page_id AS BIGINT) % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'go' ELSE 'rust' END AS language, bool_or(page_id % 3 <> 0 AND page_id % 5 = 0) AS full_scan, list(path ORDER BY path) FILTER (NOT (page_id % 3 <> 0 AND page_id % 5 = 0) AND page_id % 5 <> 0) AS changed_files FROM (SELECT page_id, 'src/f' || page_id || CASE CAST(page_id AS BIGINT) % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.go' ELSE '.rs' END AS path FROM pages) GROUP BY ALL)")
+def m19_scan_plan(spark, d):
+    """Changes made of page ids: every fifth is an addition, the others are edits."""
+    ext = F.when(F.col("page_id") % 3 == 0, ".py").when(F.col("page_id") % 3 == 1, ".go").otherwise(".rs")
+    changes = tables(spark, d)["pages"].select(F.when(F.col("page_id") % 5 == 0, "A").otherwise("M").alias("status"), F.lit(None).cast("string").alias("old"), F.concat(F.lit("src/f"), F.col("page_id"), ext).alias("new"))
+    return maintain.scan_plan(changes, ["python", "go", "rust"]).select("language", "full", "changed_files")
+
+
+@query("SELECT CASE WHEN a.doc_id IS NULL THEN 'A' WHEN b.doc_id IS NULL THEN 'D' ELSE 'M' END AS status, CAST(a.doc_id AS VARCHAR) AS old, CAST(b.doc_id AS VARCHAR) AS new FROM (SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 3) a FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 10 = 5 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 4) b USING (doc_id) WHERE a.text IS DISTINCT FROM b.text")
+def s14_tree_changes(spark, d):
+    """Documents as files; content ids carry the document's number, so that copies are not taken for renames."""
+    t = tables(spark, d)["documents"].select(F.col("doc_id"), F.col("doc_id").cast("string").alias("path"), F.sha2(F.concat_ws(":", "doc_id", "text"), 256).alias("content_id"))
+    new = t.where("doc_id % 10 != 4").withColumn("content_id", F.when(F.col("doc_id") % 10 == 5, F.concat("content_id", F.lit("!"))).otherwise(F.col("content_id")))
+    return diff.tree_changes(t.where("doc_id % 10 != 3"), new)
+
+
+@query("SELECT doc_id, status FROM (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'left_only' WHEN a.doc_id IS NULL THEN 'right_only' WHEN a.quality <> b.quality THEN 'changed' END AS status FROM (SELECT doc_id, quality FROM labels WHERE doc_id % 4 <> 0) a FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 6 = 1 THEN 1 - quality ELSE quality END AS quality FROM labels WHERE doc_id % 5 <> 0) b ON a.doc_id = b.doc_id) WHERE status IS NOT NULL")
+def m25_compare_records(spark, d):
+    t = tables(spark, d)["labels"].select("doc_id", "quality")
+    right = t.where("doc_id % 5 != 0").withColumn("quality", F.when(F.col("doc_id") % 6 == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
+    return diff.compare_records(t.where("doc_id % 4 != 0"), right, ["doc_id"])
+
+
+@query("SELECT lang AS language, 'missing' AS side FROM (SELECT DISTINCT lang FROM documents WHERE lang <> 'de') WHERE lang NOT IN (SELECT lang FROM documents WHERE lang <> 'en') UNION ALL SELECT lang, 'unexpected' FROM (SELECT DISTINCT lang FROM documents WHERE lang <> 'en') WHERE lang NOT IN (SELECT lang FROM documents WHERE lang <> 'de')")
+def x7_language_drift(spark, d):
+    t = tables(spark, d)["documents"].select(F.col("lang").alias("language"))
+    return diff.language_drift(t.where("language != 'de'"), t.where("language != 'en'"))
+
+
+# Text and links over pages and documents
+
+
+@query(r"""SELECT page_id, CASE WHEN p = '/' THEN '' ELSE p END AS route FROM (SELECT page_id, '/' || array_to_string(list_filter(string_split(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1), '/'), lambda x: x NOT IN ('', '.')), '/') AS p FROM pages)""")
+def t7_routes(spark, d):
+    return tables(spark, d)["pages"].select("page_id", text.normalize_route(F.col("url")).alias("route"))
+
+
+@query("""SELECT doc_id, list_filter(regexp_split_to_array(lower(source), '[^a-z0-9]+'), lambda x: x <> '') AS terms FROM documents""")
+def t4_identifier_terms(spark, d):
+    return tables(spark, d)["documents"].select("doc_id", F.split(text.identifier_terms(F.col("source")), " ").alias("terms"))
+
+
+@query("SELECT doc_id, CAST(('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 2)) AS INT) % 64 AS shard FROM documents")
+def t18_shard(spark, d):
+    return tables(spark, d)["documents"].select("doc_id", text.shard(F.col("doc_id").cast("string")).alias("shard"))
+
+
+@query("SELECT kind, path, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '.' END AS parent FROM (" + sql("SELECT DISTINCT kind, path FROM n") + ")")
+def t3_parent_path(spark, d):
+    return graph(spark, d).nodes.select("kind", "path").distinct().withColumn("parent", text.parent_path(F.col("path")))
+
+
+@query(r"""WITH c AS (SELECT page_id AS endpoint_id, CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE '*' END AS method, 's' || (page_id % 40) AS shape FROM pages WHERE page_id % 3 = 0),
+  m AS (SELECT doc_id AS producer_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'GET' ELSE 'POST' END AS method, 's' || (doc_id % 90) AS shape FROM documents),
+  j AS (SELECT producer_id, m.method, m.shape, count(DISTINCT endpoint_id) AS n, min(endpoint_id) AS e FROM m LEFT JOIN c ON m.shape = c.shape AND (m.method = '' OR c.method = '*' OR m.method = c.method) GROUP BY ALL)
+  SELECT producer_id, method, shape, CASE n WHEN 1 THEN 'linked' WHEN 0 THEN 'missing-target' ELSE 'ambiguous-target' END AS status, CASE WHEN n = 1 THEN e END AS endpoint_id, CAST(CASE WHEN n = 1 THEN CASE WHEN method = '' THEN 0.85 ELSE 1.0 END END AS DOUBLE) AS confidence, CASE WHEN n = 1 THEN CASE WHEN method = '' THEN 'unique-route' ELSE 'method-and-route' END END AS evidence FROM j""")
+def j8_link_http(spark, d):
+    """Contracts made of page ids, producers of document ids."""
+    t = tables(spark, d)
+    c = t["pages"].where("page_id % 3 = 0").select(F.col("page_id").alias("endpoint_id"), F.when(F.col("page_id") % 2 == 0, "GET").otherwise("*").alias("method"), F.concat(F.lit("s"), F.col("page_id") % 40).alias("shape"))
+    m = t["documents"].select(F.col("doc_id").alias("producer_id"), F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, "GET").otherwise("POST").alias("method"), F.concat(F.lit("s"), F.col("doc_id") % 90).alias("shape"))
+    return link.link_http(m, c)
+
+
+@query("""WITH c AS (SELECT l_orderkey % 50 AS path, l_partkey || ':' || l_linenumber || ':' || l_suppkey || ':' || l_orderkey AS owner, l_partkey AS start_line, l_linenumber AS start_column, l_partkey + l_quantity::BIGINT AS end_line FROM lineitem),
+  q AS (SELECT DISTINCT o_orderkey % 50 AS path, o_custkey AS line_no FROM orders),
+  i AS (SELECT q.path, q.line_no, arg_min(owner, (start_line, start_column, owner)) AS owner FROM q JOIN c ON q.path = c.path AND start_line <= line_no AND line_no <= end_line GROUP BY ALL),
+  l AS (SELECT q.path, q.line_no, arg_max(owner, (start_line, start_column, owner)) AS owner FROM q JOIN c ON q.path = c.path AND start_line <= line_no GROUP BY ALL)
+  SELECT q.path, q.line_no, coalesce(i.owner, l.owner) AS owner FROM q LEFT JOIN i USING (path, line_no) LEFT JOIN l USING (path, line_no)""")
+def j9_line_owners(spark, d):
+    """Line items as callables over lines, orders as the lines asked about."""
+    t = tables(spark, d)
+    c = t["lineitem"].select((F.col("l_orderkey") % 50).alias("path"), F.concat_ws(":", "l_partkey", "l_linenumber", "l_suppkey", "l_orderkey").alias("owner"), F.col("l_partkey").alias("start_line"), F.col("l_linenumber").alias("start_column"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end_line"))
+    q = t["orders"].select((F.col("o_orderkey") % 50).alias("path"), F.col("o_custkey").alias("line_no")).distinct()
+    return link.owners(q, c)
+
+
+@query("SELECT p_brand AS name, min(p_type) AS value FROM part GROUP BY p_brand HAVING count(DISTINCT p_type) = 1")
+def j11_unique_constants(spark, d):
+    lines = tables(spark, d)["part"].select(F.concat(F.lit("const "), F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_"), F.lit(" = '"), "p_type", F.lit("'")).alias("line"), "p_brand")
+    brand = lines.select(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_").alias("name"), "p_brand").distinct()
+    return link.constants(lines).join(brand, "name").select(F.col("p_brand").alias("name"), "value")
+
+
+# Vectors, retrieval, transcripts
+
+
+@query("SELECT vec_id, score FROM (SELECT vec_id, round(list_inner_product(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings) ORDER BY score DESC, vec_id LIMIT 25")
+def v1_vector_search(spark, d):
+    e = tables(spark, d)["embeddings"]
+    return vector.search(e, e.where("vec_id = 0").first()["embedding"], 25)
+
+
+_BM = r"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> ''))) AS term FROM benchmark WHERE item_id < 20),
+  t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS ws FROM documents),
+  c AS (SELECT count(*) AS n, avg(len(ws)) AS avg_len FROM t),
+  f AS (SELECT doc_id, term, len, count(*) AS tf FROM (SELECT doc_id, len(ws) AS len, unnest(ws) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+  df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+  s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 9) AS score FROM q JOIN df USING (term) JOIN f USING (term), c GROUP BY ALL)
+  SELECT query_id, doc_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s) WHERE rank <= 10"""
+
+
+def _bm25(spark, d):
+    t = tables(spark, d)
+    return stats.bm25(t["documents"], t["benchmark"].where("item_id < 20").select(F.col("item_id").alias("query_id"), "text"))
+
+
+@query(_BM)
+def t15_bm25(spark, d):
+    return _bm25(spark, d).select("query_id", "doc_id", "rank")
+
+
+@query(f"WITH r AS ({_BM}) SELECT count(*) AS cases, round(avg(recall), 9) AS recall, round(avg(rr), 9) AS mrr, avg(CASE WHEN recall = 1 THEN 1.0 ELSE 0.0 END) AS pass_rate FROM (SELECT query_id, avg(CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END) AS recall, coalesce(1 / min(rank), 0) AS rr FROM (SELECT DISTINCT query_id FROM r) JOIN (SELECT doc_id % 20 AS query_id, doc_id FROM labels WHERE quality = 1) USING (query_id) LEFT JOIN r USING (query_id, doc_id) GROUP BY query_id)")
+def a12_retrieval_metrics(spark, d):
+    """Labelled documents as the relevant ones of the query with their number modulo 20."""
+    r = _bm25(spark, d).select(F.col("query_id").alias("case_id"), "doc_id", "rank")
+    rel = tables(spark, d)["labels"].where("quality = 1").select((F.col("doc_id") % 20).alias("case_id"), "doc_id").join(r.select("case_id").distinct(), "case_id", "left_semi")
+    m = stats.retrieval_metrics(r, rel, 10)
+    return m.select("cases", F.round("recall", 9).alias("recall"), F.round("mrr", 9).alias("mrr"), "pass_rate")
+
+
+@query("""WITH v AS (SELECT conv_id AS run_id, turn * 1000 AS time_ms, role AS path, turn AS start_line, length(text) AS tokens, md5(text) AS input_id, row_number() OVER (PARTITION BY conv_id, md5(text) ORDER BY turn * 1000, role, turn) > 1 AS again FROM conversations),
+  f AS (SELECT run_id, min(tm) AS first_match_ms, max(tm) AS latest, count(*) AS found FROM (SELECT run_id, path, min(time_ms) AS tm FROM v WHERE path IN ('user', 'assistant') GROUP BY ALL) GROUP BY run_id)
+  SELECT run_id, CAST(sum(tokens) AS BIGINT) AS input_tokens, count(*) AS output_tokens, CAST(coalesce(sum(tokens) FILTER (again), 0) AS BIGINT) AS repeated_input_tokens, count(DISTINCT row(path, start_line)) AS distinct_ranges, first_match_ms, CASE WHEN found = 2 THEN latest END AS all_matched_ms FROM v LEFT JOIN f USING (run_id) GROUP BY run_id, first_match_ms, found, latest""")
+def a13_transcripts(spark, d):
+    """Conversations as runs, turns as events; the roles stand for paths."""
+    c = tables(spark, d)["conversations"].select(F.col("conv_id").alias("run_id"), (F.col("turn") * 1000).alias("time_ms"), F.col("role").alias("path"), F.col("turn").alias("start_line"), F.col("turn").alias("end_line"), F.md5(F.col("text").cast("binary")).alias("input_id"), F.length("text").cast("long").alias("input_tokens"), F.lit(1).alias("output_tokens"))
+    out = stats.score_transcripts(c, spark.createDataFrame([("user",), ("assistant",)], "path string"))
+    return out.select("run_id", "input_tokens", "output_tokens", "repeated_input_tokens", "distinct_ranges", "first_match_ms", "all_matched_ms")
+
+
+@query("SELECT source, round(avg(n_chars), 6) AS avg_n_chars, count(DISTINCT n_chars) AS distinct_results, count(*) AS runs FROM documents GROUP BY source")
+def a15_scorecard(spark, d):
+    return stats.scorecard(tables(spark, d)["documents"], "source", ["n_chars"])
+
+
+@query("SELECT event_type AS name, count(*) AS samples, median(value) AS median_ms, round(1000 / median(value), 6) AS per_second FROM events GROUP BY event_type")
+def a11_benchmark_summary(spark, d):
+    return stats.benchmark_summary(tables(spark, d)["events"].select(F.col("event_type").alias("name"), F.col("value").alias("ms")))
+
+
+@query("SELECT item_id AS case_id, 'd' || item_id AS path, CAST(item_id % 3 AS BIGINT) AS start_line, CAST(item_id % 7 AS BIGINT) AS end_line, CASE WHEN doc_id IS NULL THEN 'missing-file' WHEN item_id % 3 < 1 OR item_id % 7 < item_id % 3 THEN 'invalid-range' WHEN item_id % 7 > len(string_split(d.text, chr(10))) THEN 'out-of-range' ELSE 'grounded' END AS verdict FROM benchmark b LEFT JOIN (SELECT * FROM documents WHERE doc_id % 5 <> 1) d ON d.doc_id = item_id")
+def m30_grounding(spark, d):
+    t = tables(spark, d)
+    f = t["documents"].where("doc_id % 5 != 1").select(F.concat(F.lit("d"), "doc_id").alias("path"), F.size(F.split("text", "\n")).alias("n_lines"))
+    c = t["benchmark"].select(F.col("item_id").alias("case_id"), F.concat(F.lit("d"), "item_id").alias("path"), (F.col("item_id") % 3).cast("long").alias("start_line"), (F.col("item_id") % 7).cast("long").alias("end_line"))
+    return stats.grounding(c, f)
+
+
+# Runtime evidence over events
+
+
+def _observations(spark, d):
+    e = tables(spark, d)["events"]
+    return e.select(F.lit("run").alias("run_id"), F.lit("observed-calls").alias("relation"), F.concat(F.lit("u"), "user_id").alias("source"), F.col("event_type").alias("target"), "ts")
+
+
+@query("SELECT 'run' AS run_id, 'observed-calls' AS relation, 'u' || user_id AS source, event_type AS target, count(*) AS count, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY user_id, event_type")
+def a10_observations(spark, d):
+    return evidence.aggregate(_observations(spark, d))
+
+
+@query("SELECT date_trunc('day', ts) AS window_start, event_type AS target, count(*) AS count FROM events GROUP BY ALL")
+def r4_evidence_windows(spark, d):
+    return evidence.windowed(_observations(spark, d), "1 day", keys=["target"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(sql("""SELECT x.key AS source, y.key AS target, CASE WHEN bool_or(relation = 'calls') THEN 'confirmed' WHEN bool_or(relation = 'possible-calls') THEN 'possible' ELSE 'dynamic' END AS category, CAST(n AS BIGINT) AS count
+  FROM (SELECT a, b, count(*) AS n FROM (SELECT user_id * 10 + 1 AS a, user_id * 10 + 2 AS b FROM events UNION ALL SELECT o_orderkey, nxt FROM (SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nxt FROM orders) WHERE o_orderkey % 50 = 0 AND nxt IS NOT NULL) GROUP BY a, b) o
+  JOIN n x ON x.name = 'order_' || a JOIN n y ON y.name = 'order_' || b LEFT JOIN e ON src = x.node_id AND dst = y.node_id GROUP BY ALL"""))
+def j15_reconcile(spark, d):
+    """Pairs of orders made of events, and some true successions of orders."""
+    t, g = tables(spark, d), graph(spark, d)
+    made = t["events"].select((F.col("user_id") * 10 + 1).alias("a"), (F.col("user_id") * 10 + 2).alias("b"))
+    true = t["orders"].selectExpr("o_orderkey as a", "lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as b").where("a % 50 = 0 and b is not null")
+    names = g.nodes.where("kind = 'function'").select("name", "key")
+    o = made.unionByName(true).select(F.concat(F.lit("order_"), "a").alias("na"), F.concat(F.lit("order_"), "b").alias("nb"))
+    o = o.join(names.toDF("na", "source"), "na").join(names.toDF("nb", "target"), "nb")
+    o = o.select(F.lit("run").alias("run_id"), F.lit("observed-calls").alias("relation"), "source", "target", F.lit(None).cast("string").alias("external_target"), F.lit(1).cast("long").alias("count"))
+    return evidence.reconcile(o, g).select("source", "target", "category", "count")
+
+
+# Without SQL: generators and texts, tested against brute force and by determinism
+
+
+@query()
+def g21_synthetic(spark, d):
+    return synth.synthetic(spark, "modular", 2000, 20_000, 3)
+
+
+@query()
+def g22_mutation(spark, d):
+    e = synth.synthetic(spark, "hub-heavy", 2000, 20_000, 3)
+    return synth.mutate(e, 2000, "hub", 1)[0]
+
+
+@query()
+def v2_documents(spark, d):
+    return vector.documents(graph(spark, d))
+
+
+@query("SELECT p_brand AS path, p_partkey AS line_no, CASE p_size % 3 WHEN 0 THEN 'type' WHEN 1 THEN 'function' ELSE 'import' END AS fact, CASE p_size % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'def' ELSE 'import' END AS key, CASE p_size % 3 WHEN 0 THEN 'Part' WHEN 1 THEN 'part_' ELSE 'lib.part' END || p_partkey AS name FROM part")
+def m1_extract(spark, d):
+    """Source lines made of parts: a class, a function or an import each."""
+    k = F.col("p_size") % 3
+    line = F.when(k == 0, F.concat(F.lit("class Part"), "p_partkey", F.lit(":"))).when(k == 1, F.concat(F.lit("    def part_"), "p_partkey", F.lit("(self):"))).otherwise(F.concat(F.lit("import lib.part"), "p_partkey"))
+    return link.extract(tables(spark, d)["part"].select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("line_no"), line.alias("line")))
