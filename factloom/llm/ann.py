@@ -106,7 +106,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             keep = np.flatnonzero(np.isfinite(x).all(1) & (x != 0).any(1))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array([r.tobytes() for r in x[keep]], pa.binary())], ["vec_id", "v"])
 
-    return src.mapInArrow(run, "vec_id bigint, v binary") if dim > 0 else src.where("false").select("vec_id", F.lit(None).cast("binary").alias("v"))
+    return src.mapInArrow(common.trimmed(run), "vec_id bigint, v binary") if dim > 0 else src.where("false").select("vec_id", F.lit(None).cast("binary").alias("v"))
 
 
 PAIR = "q binary, c binary, score double"
@@ -126,7 +126,7 @@ def windows(classes: DataFrame, curves: Curves, most: int, orders: int = ORDERS,
             for m in range(orders):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, m, np.int8)), pa.array(held.value.key(x, m)), *b.columns], ["o", "key", "cid", "v", "asks"])
 
-    rows = classes.select("cid", "v", "asks").mapInArrow(keys, "o tinyint, key bigint, cid binary, v binary, asks boolean")
+    rows = classes.select("cid", "v", "asks").mapInArrow(common.trimmed(keys), "o tinyint, key bigint, cid binary, v binary, asks boolean")
     rows = rows.repartitionByRange("o", "key", "cid").sortWithinPartitions("o", "key", "cid")
 
     def rerank(held_rows: list[tuple], start: int) -> pa.RecordBatch:
@@ -157,7 +157,7 @@ def windows(classes: DataFrame, curves: Curves, most: int, orders: int = ORDERS,
         if here:
             yield rerank(here, done)
 
-    return rows.mapInArrow(run, PAIR)
+    return rows.mapInArrow(common.trimmed(run), PAIR)
 
 
 def complete_blocks(classes: DataFrame, found: DataFrame, curves: Curves, bounds: np.ndarray, q_bounds: np.ndarray, most: int) -> DataFrame:
@@ -171,7 +171,7 @@ def complete_blocks(classes: DataFrame, found: DataFrame, curves: Curves, bounds
             key = curve.key(_matrix(b.column(1)), 0)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.searchsorted(e, key, "right").astype(np.int32)) for e in (edges, q_edges))], ["cid", "v", "asks", "g", "h"])
 
-    rows = common.materialise(classes.select("cid", "v", "asks").mapInArrow(blocks, "cid binary, v binary, asks boolean, g int, h int"), "ann-blocks")
+    rows = common.materialise(classes.select("cid", "v", "asks").mapInArrow(common.trimmed(blocks), "cid binary, v binary, asks boolean, g int, h int"), "ann-blocks")
 
     def extent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums for centres, by block; partial for each batch."""

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Parts in the young half of a worker's table; when it is full, it becomes the old half, whose unused parts go.
-CACHE_PARTS = 350_000
+CACHE_PARTS = 200_000
 #: Parts longer than this are encoded without being kept.
 CACHE_PART_CHARS = 48
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -174,7 +174,7 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, id_col: str =
             yield pa.RecordBatch.from_arrays(cols, names)
 
     more = ", byte_starts array<bigint>, char_starts array<bigint>" if offsets else ""
-    return src.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>{more}")
+    return src.mapInArrow(common.trimmed(run), f"`{id_col}` {kind}, ids array<int>{more}")
 
 
 def decode(tokens: DataFrame, path: str, pattern: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -190,7 +190,7 @@ def decode(tokens: DataFrame, path: str, pattern: str | None = None, id_col: str
             text = [None if x is None else x.decode("utf-8", "replace") for x in raw]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary()), pa.array(text, pa.string())], [id_col, "raw", "text"])
 
-    return src.mapInArrow(run, f"`{id_col}` {kind}, raw binary, text string")
+    return src.mapInArrow(common.trimmed(run), f"`{id_col}` {kind}, raw binary, text string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,4 +214,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str | None = None, id_col: s
                 raw_sha.append(hashlib.sha256(c.decode_bytes(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return src.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return src.mapInArrow(common.trimmed(run), f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

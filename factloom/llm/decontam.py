@@ -146,7 +146,7 @@ def scan(docs: DataFrame, bench: Benchmark, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays(cols, [id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"][: len(cols)])
 
     more = ", spans array<struct<start:bigint,end:bigint>>" if with_spans else ""
-    return src.mapInArrow(run, f"`{id_col}` {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean{more}")
+    return src.mapInArrow(common.trimmed(run), f"`{id_col}` {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean{more}")
 
 
 def hit_items(docs: DataFrame, bench: Benchmark, text_col: str = "text") -> Column:

@@ -102,7 +102,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             yield pa.RecordBatch.from_arrays([b.column(j).take(pa.array(keep, pa.int64())) for j in (0, 2, 3)] + [pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["id", "lang", "h", "at", "n"])
 
     kind = src.schema["id"].dataType.simpleString()
-    rows = sample.select("id", "text", "lang", "h").mapInArrow(run, f"id {kind}, lang string, h bigint, at binary, n binary").collect()
+    rows = sample.select("id", "text", "lang", "h").mapInArrow(common.trimmed(run), f"id {kind}, lang string, h bigint, at binary, n binary").collect()
     by: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"], str(r["id"]))):
         by.setdefault(r["lang"], []).append((np.frombuffer(bytes(r["at"]), np.uint16), np.frombuffer(bytes(r["n"]), np.uint16)))

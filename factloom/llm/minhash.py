@@ -47,7 +47,7 @@ class _Words(dict):
     """Word to 64-bit hash; bounded, since it starts anew when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return h
@@ -108,7 +108,7 @@ def sign(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
             n, sid, keys, sketch = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (sid, keys, sketch))], ["id", "n_shingles", "sid", "keys", "sketch"])
 
-    return src.mapInArrow(run, "id bigint, n_shingles bigint, sid binary, keys binary, sketch binary")
+    return src.mapInArrow(common.trimmed(run), "id bigint, n_shingles bigint, sid binary, keys binary, sketch binary")
 
 
 def _compare(x: np.ndarray) -> np.ndarray:
@@ -198,7 +198,7 @@ def forest(classes: DataFrame, similarity: float) -> DataFrame:
         if out:
             yield flush()
 
-    return rows.mapInArrow(run, "a binary, b binary, est float")
+    return rows.mapInArrow(common.trimmed(run), "a binary, b binary, est float")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -244,7 +244,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                     ok_b.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(ok_a, pa.binary()), pa.array(ok_b, pa.binary())], ["a", "b"])
 
-    return with_both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    return with_both.select("a", "b", "ta", "tb").mapInArrow(common.trimmed(run), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

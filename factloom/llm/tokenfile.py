@@ -69,7 +69,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, pattern: str | None = Non
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(starts), pa.array(lengths), ids], ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
 
-    rows = by_ranges(docs, id_col, text_col, rows_a_part).mapInArrow(run, "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, ids array<int>")
+    rows = by_ranges(docs, id_col, text_col, rows_a_part).mapInArrow(common.trimmed(run), "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, ids array<int>")
     size = {"parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes), "parquet.page.write-checksum.enabled": "true"}
     rows.write.options(**size, **ENCODINGS[encoding]).parquet(out)
 
@@ -97,4 +97,4 @@ def digest(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(common.trimmed(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

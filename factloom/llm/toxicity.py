@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, id_co
 
     kind = src.schema["id"].dataType.simpleString()
     ys = [f"y{k}" for k in range(len(names))]
-    held = common.materialise(src.select("id", "text", *ys).mapInArrow(split, f"id {kind}, words array<binary>, {', '.join(f'{y} int' for y in ys)}"), "toxic-sample")
+    held = common.materialise(src.select("id", "text", *ys).mapInArrow(common.trimmed(split), f"id {kind}, words array<binary>, {', '.join(f'{y} int' for y in ys)}"), "toxic-sample")
     n, *pos = held.agg(F.count("*"), *[F.coalesce(F.sum(y), F.lit(0)) for y in ys]).first()
     if not n:
         return Model(names)
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, id_co
             at = [np.array([v[w] for w in ws if w in v], np.int32).tobytes() for ws in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.binary()), *b.columns[2:]], ["id", "at", *b.schema.names[2:]])
 
-    got = held.mapInArrow(number, f"id {kind}, at binary, {', '.join(f'{y} int' for y in ys)}").collect()
+    got = held.mapInArrow(common.trimmed(number), f"id {kind}, at binary, {', '.join(f'{y} int' for y in ys)}").collect()
     got.sort(key=lambda r: (r["id"], bytes(r["at"])))
     lists = [np.frombuffer(bytes(r["at"]), np.int32) for r in got]
     rows, cols = np.repeat(np.arange(len(got)), [len(x) for x in lists]), np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int64)

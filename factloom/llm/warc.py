@@ -122,7 +122,7 @@ def write_archives(rows: DataFrame, folder: str, most_bytes: int = 256 << 20) ->
             close()
         yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.string()), pa.array([s for _, s in done], pa.int64())], ["file", "bytes"])
 
-    return rows.select("page_id", "url", "ts", "payload", "payload_bytes", "payload_digest", "first_id").mapInArrow(run, "file string, bytes bigint")
+    return rows.select("page_id", "url", "ts", "payload", "payload_bytes", "payload_digest", "first_id").mapInArrow(common.trimmed(run), "file string, bytes bigint")
 
 
 def _members(f: io.RawIOBase) -> Iterator[tuple[int, int, bytes]]:
@@ -175,7 +175,7 @@ def index_runs(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
                 for i in range(0, len(lines), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines[i : i + 10_000], strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
-    return files.select("file").repartition(max(files.count(), 1), "file").mapInArrow(run, LINE)
+    return files.select("file").repartition(max(files.count(), 1), "file").mapInArrow(common.trimmed(run), LINE)
 
 
 def _rank(line: tuple) -> tuple:
@@ -236,7 +236,7 @@ def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
         for i in range(0, len(out), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 10_000], strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
-    return dealt.select(*_FIELDS).mapInArrow(run, LINE)
+    return dealt.select(*_FIELDS).mapInArrow(common.trimmed(run), LINE)
 
 
 def archive(pages: DataFrame, folder: str, **columns) -> DataFrame:
