@@ -5,7 +5,7 @@
 2. The forest: for each of ``TREES`` orders, classes are sorted by that order's ``DEPTH`` values, dealt by range. A
    region is a run of classes with the same first ``LEAST_DEPTH`` values. In a small region all classes are compared
    by sketch; in a larger one each is compared with the ``BLOCK`` nearest in order, i.e. those with the longest
-   common prefixes, so the depth adapts to how crowded the region is. A region that is one range after another is
+   common prefixes, so the depth adapts to how crowded the region is, and with the few that resemble all others most. A region that is one range after another is
    cut at random places which differ from tree to tree.
 3. Candidates whose sketch allows the wanted similarity are confirmed on full sets. Pairs inside a component that
    confirmed links already connect need no test; each round tests the best pairs between components, and the rounds go
@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TREES, DEPTH, LEAST_DEPTH, BLOCK = 16, 8, 3, 128
+TREES, DEPTH, LEAST_DEPTH, BLOCK, HUBS = 16, 8, 3, 128, 16
+#: Candidate classes up to which their ids are broadcast to the texts (some 40 bytes each); more are joined in a shuffle.
+BROADCAST_CLASSES = 1_000_000
 _HASHES = TREES * DEPTH
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _MUL = (_RNG.integers(1, 1 << 31, _HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
@@ -119,6 +121,22 @@ def _compare(x: np.ndarray) -> np.ndarray:
     return (same - 1 / 16) / (15 / 16)
 
 
+def _hub_pairs(x: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+    """For each row of a crowded region its two best of the ``HUBS`` rows that are nearest to the region's consensus.
+
+    Copies of one original resemble it more than each other, and the original is what their values agree on.
+    """
+    raw = x.view(np.uint8).reshape(len(x), -1)
+    nibbles = np.concatenate((raw & 15, raw >> 4), axis=1)
+    mode = np.argmax(np.stack([(nibbles == v).sum(0) for v in range(16)]), axis=0)
+    hubs = np.argsort(-(nibbles == mode).sum(1), kind="stable")[:HUBS]
+    same = np.stack([(nibbles == nibbles[h]).mean(1) for h in hubs], axis=1)
+    est = (same - 1 / 16) / (15 / 16)
+    est[hubs, np.arange(len(hubs))] = 0
+    best = np.argsort(-est, axis=1, kind="stable")[:, :2]
+    return [(i, int(hubs[j]), float(est[i, j])) for i in range(len(x)) for j in best[i] if est[i, j] >= least]
+
+
 def _block_pairs(est: np.ndarray, least: float, strong: float) -> set[tuple[int, int]]:
     """Of the pairs that reach ``least``: a spanning forest by falling estimate, the two best of each row, and all
     pairs of rows without a ``strong`` partner. Those left out lie within what the forest connects."""
@@ -166,9 +184,12 @@ def forest(classes: DataFrame, similarity: float) -> DataFrame:
         n = len(sids)
         x = np.frombuffer(b"".join(sketches), np.uint64).reshape(n, -1)
         step = n if n <= BLOCK else BLOCK // 2
+        for i, j, e in _hub_pairs(x, least) if n > BLOCK else ():
+            a, b = sids[i], sids[j]
+            yield (a, b, e) if a < b else (b, a, e)
         for lo in range(0, max(n - (BLOCK - step if n > BLOCK else 0), 1), step):
             est = _compare(x[lo : lo + BLOCK])
-            for i, j in _block_pairs(est.copy(), least, strong):
+            for i, j in _block_pairs(est.copy(), least, strong if n <= BLOCK else 0.0):
                 a, b = sids[lo + i], sids[lo + j]
                 yield (a, b, float(est[i, j])) if a < b else (b, a, float(est[i, j]))
 
@@ -249,6 +270,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_shingles, component_id, kept`` of each row of ``docs``; ``kept`` marks the smallest id of its component."""
+    return _label(docs, k, percent, id_col, text_col).drop("sid")
+
+
+def _label(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     signed = common.materialise(sign(docs, k, id_col, text_col), "minhash-signed")
     some = signed.where("sid is not null")
@@ -265,18 +290,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     slim = signed.select("id", "n_shingles", "sid")
     out = common.join_unique(slim, common.materialise(label, "minhash-label"), "sid")
     own = F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
-
+    return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"), "sid")
 
-def _texts(docs: DataFrame, named: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """``sid, text``: one text of each named class, found by its smallest id and checked by its set."""
 
+def _sid_udf(k: int):
     @F.pandas_udf("binary")
     def sid_of(texts: pd.Series) -> pd.Series:
         return pd.Series([set_name(shingles(t if isinstance(t, str) else None, k)) for t in texts])
 
+    return sid_of
+
+
+def _texts(docs: DataFrame, named: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """``sid, text``: one text of each named class, found by its smallest id and checked by its set."""
+
+    sid_of = _sid_udf(k)
     src = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    by_id = src.where("rep is not null").join(named.where("rep is not null"), "rep").where(sid_of("text") == F.col("sid")).select("sid", "text")
+    wanted = named.where("rep is not null")
+    wanted = F.broadcast(wanted) if named.count() <= BROADCAST_CLASSES else wanted
+    by_id = src.where("rep is not null").join(wanted, "rep").where(sid_of("text") == F.col("sid")).select("sid", "text")
     lost = named.where("rep is null").select("sid")
     nameless = src.where("rep is null").select(sid_of("text").alias("sid"), "text").join(lost, "sid", "left_semi")
     return by_id.unionByName(nameless).groupBy("sid").agg(F.min("text").alias("text"))
@@ -317,13 +349,16 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col:
     Wordless documents stay, as do rows with a null id whose component has no other id; of several such rows with
     the same text one stays.
     """
-    kept = common.materialise(near_duplicates(docs, k, percent, id_col, text_col), "minhash-kept")
+    kept = common.materialise(_label(docs, k, percent, id_col, text_col), "minhash-kept")
     gone = kept.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_gone")).distinct()
     named = docs.where(F.col(id_col).isNotNull())
     rest = named.join(gone, named[id_col].cast("long") == gone["_gone"], "left_anti")
     if not kept.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
         rest = rest.dropDuplicates([id_col])
-    nameless = docs.where(F.col(id_col).isNull())
-    if not kept.where(F.col(id_col).isNull() & F.col("component_id").isNull()).isEmpty():
-        rest = rest.unionByName(nameless.dropDuplicates([text_col]))
+    alone = kept.where(F.col(id_col).isNull() & F.col("component_id").isNull())
+    if not alone.isEmpty():
+        sid = _sid_udf(k)
+        nameless = docs.where(F.col(id_col).isNull()).withColumn("_sid", F.coalesce(sid(F.col(text_col)), F.lit(b"")))
+        ours = alone.select(F.coalesce("sid", F.lit(b"")).alias("_alone")).distinct()
+        rest = rest.unionByName(nameless.join(ours, F.col("_sid") == F.col("_alone"), "left_semi").dropDuplicates(["_sid"]).drop("_sid"))
     return rest.select(*docs.columns)
