@@ -13,7 +13,9 @@ import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .. import schema
 from ..functions.text import shard
 from ..graph import FactSet, GraphError
 from .files import atomic_write, dumps
@@ -94,14 +96,15 @@ class Store:
         snapshot = snapshot or self.current()
         self.manifest(snapshot)
 
-        def part(name: str) -> DataFrame:
-            df = self.spark.read.parquet(f"file://{self.root}/objects/{snapshot}/{name}")
+        def part(name: str, kind: T.StructType) -> DataFrame:
+            stored = T.StructType([*kind.fields, T.StructField("owner_shard", T.IntegerType())])
+            df = self.spark.read.schema(stored).parquet(f"file://{self.root}/objects/{snapshot}/{name}")
             if owners is not None:
                 shards = {int(hashlib.sha256(o.encode()).hexdigest()[:2], 16) % 64 for o in owners}
                 df = df.where(F.col("owner_shard").isin(list(shards)) & F.col("owner").isin(owners))
             return df.drop("owner_shard")
 
-        return FactSet(part("nodes"), part("edges"), part("unresolved"))
+        return FactSet(part("nodes", schema.NODE), part("edges", schema.EDGE), part("unresolved", schema.UNRESOLVED))
 
     def pin(self, consumer: str, snapshot: str) -> None:
         atomic_write(f"{self.root}/pins/{consumer}", snapshot)
