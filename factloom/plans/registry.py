@@ -354,7 +354,7 @@ def w11_top_edges(spark, d):
 # Ownership, dependencies, plans
 
 
-@query(sql("SELECT DISTINCT regexp_replace(x.path, '^$', '') AS file, y.path AS needs FROM e JOIN n x ON x.node_id = src JOIN n y ON y.node_id = dst WHERE contains(string_split(x.path, '/')[-1], '.') AND contains(string_split(y.path, '/')[-1], '.') AND x.path <> '.' AND y.path <> '.' AND x.path <> y.path"))
+@query(sql(", f AS MATERIALIZED (SELECT node_id, path FROM n WHERE contains(string_split(path, '/')[-1], '.') AND path <> '.'), d AS MATERIALIZED (SELECT DISTINCT src, y.path AS needs FROM e JOIN f y ON y.node_id = dst), w AS MATERIALIZED (SELECT DISTINCT x.path AS file, needs FROM d JOIN f x ON x.node_id = src) SELECT file, needs FROM w WHERE file <> needs"))
 def j13_file_dependencies(spark, d):
     f = facts(spark, d)
     owner = F.when(F.col("path") != ".", maintain.node_path_owner(F.col("path"), F.col("kind")))
