@@ -49,7 +49,7 @@ class Model:
         return [1 / (1 + np.exp(-min(30.0, max(-30.0, z)))) for z in logits]
 
 
-def _logit(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, dim: int, l2: float = 0.3, rounds: int = 250) -> np.ndarray:
+def _logit(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, dim: int, l2: float = 0.1, rounds: int = 250) -> np.ndarray:
     """Logistic regression over sparse 0/1 words and dense extra columns, by accelerated scaled gradients."""
     n, k = len(y), extra.shape[1]
     scale = np.concatenate((np.bincount(cols, minlength=dim), (extra**2).sum(0), [n])) / 4 + l2
@@ -91,7 +91,7 @@ def fit_chain(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, fold: np.n
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = 12_000, vocabulary: int = 512, least_df: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = 20_000, vocabulary: int = 256, least_df: int = 3) -> Model:
     """Fit on at most about ``most_labelled`` labelled documents, chosen by the hash of their id."""
     spark = docs.sparkSession
     common.arrow_limits(spark)
