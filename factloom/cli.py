@@ -43,7 +43,7 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--dry-run", action="store_true")
     c = sub.add_parser("find")
     c.add_argument("query")
-    c.add_argument("--limit", type=int, default=20)
+    c.add_argument("--limit", default=20, type=int)
     for name in ("show", "refs", "calls"):
         sub.add_parser(name).add_argument("selector")
     for name in ("status", "doctor", "languages"):

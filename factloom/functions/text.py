@@ -50,7 +50,9 @@ def identifier_terms(name: Column) -> Column:
     return F.trim(F.lower(x))
 
 
-_HOLE = r"\$?\{[^}/]*\}|:[A-Za-z_][A-Za-z0-9_]*|<[^>/]+>|%[sdv]|#\{[^}]*\}"
+_HOLE = "|".join((r"\$?\{[^}/]*\}", r":(?!\d)\w+", "<[^>/]+>", "%[sdv]", r"#\{[^}]*\}"))
+#: A verb as the name of a called function.
+_VERB_CALL = "(?i)(?:^|\\W)(" + "|".join(("delete", "get", "patch", "post", "put")) + r")(?:_json)?\s*\("
 
 
 def clean_route(path: Column) -> Column:
@@ -65,7 +67,7 @@ def normalize_route(value: Column) -> Column:
     Without a scheme, text before the first of the usual service markers is dropped.
     """
     v = F.replace(F.trim(value), F.lit("\\/"), F.lit("/"))
-    marker = F.coalesce(*[F.when(v.contains(m), F.substr(v, F.instr(v, m))) for m in ("/api/", "/internal/", "/health", "/ws")], v)
+    marker = F.coalesce(*[F.when(v.contains(m), F.substr(v, F.instr(v, m))) for m in "/api/ /internal/ /health /ws".split()], v)
     rest = F.regexp_extract(v, r"(?s)^.*?://(.*)$", 1)
     path = F.when(v.contains("://"), F.when(rest.contains("/"), F.substr(rest, F.instr(rest, "/"))).otherwise("/")).otherwise(marker)
     path = F.regexp_replace(F.regexp_extract(path, r"(?s)^([^?#]*)", 1), _HOLE, "{param}")
@@ -80,20 +82,20 @@ def route_shape(path: Column) -> Column:
 
 def http_method(line: Column) -> Column:
     """The verb of a client call or setting in a line, upper-cased; empty if none."""
-    call = F.regexp_extract(line, r"(?i)(?:^|\W)(get|post|put|patch|delete)(?:_json)?\s*\(", 1)
-    constant = F.regexp_extract(F.upper(line), r"METHOD_?(DELETE|PATCH|POST|PUT|GET)", 1)
-    setting = F.regexp_extract(line, r"""(?i)["']?method["']?\s*[:=]\s*["'](get|post|put|patch|delete)["']""", 1)
+    call = F.regexp_extract(line, _VERB_CALL, 1)
+    constant = F.regexp_extract(F.upper(line), "METHOD_?(GET|PUT|POST|PATCH|DELETE)", 1)
+    setting = F.regexp_extract(line, r"""(?i)method["']?\s*[:=]\s*["'](put|post|patch|get|delete)""", 1)
     return F.upper(F.coalesce(*[F.when(x != "", x) for x in (call, constant, setting)], F.lit("")))
 
 
 def client_call(line: Column) -> Column:
     low = F.lower(line)
     server = low.contains("handlefunc(") | low.contains(".handler(")
-    return ~server & ((F.regexp_extract(line, r"(?i)(?:^|\W)(get|post|put|patch|delete)(?:_json)?\s*\(", 1) != "") | low.rlike(r"request\(|fetch\(|axios\.|requests\.|httpclient|net::http"))
+    return ~server & ((F.regexp_extract(line, _VERB_CALL, 1) != "") | low.rlike(r"request\(|fetch\(|axios\.|requests\.|httpclient|net::http"))
 
 
 def last_identifier(token: Column) -> Column:
-    return F.regexp_extract(token, r"([A-Za-z_][A-Za-z0-9_]*)[^A-Za-z0-9_]*$", 1)
+    return F.regexp_extract(token, r"((?!\d)\w+)\W*$", 1)
 
 
 def camelize(name: Column) -> Column:

@@ -9,20 +9,22 @@ from pyspark.sql import functions as F
 
 from ..functions.text import client_call, component_of, http_method, last_identifier, normalize_route, parent_path, route_shape
 
+#: A quote, a string's content between quotes, a name.
+Q, INNER, NAME = "[\"']", "[^\"']+", r"[A-Za-z_]\w*"
 CALLABLE = ("function", "method", "constructor", "test")
-_MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|export|async|pub|open|extern|unsafe)\s+)*"
+_MODS = r"(?:(?:abstract|async|export|extern|final|internal|open|private|protected|pub|public|static|unsafe)\s+)*"
 IMPORT_PATTERNS = (
-    r"""^\s*#\s*(include|import)\s*[<"]([^>"]+)""",
+    r"""^[ \t]*#[ \t]*(import|include)[ \t]*[<"]([^<>"]+)""",
     r"^\s*(from)\s+([\w./:-]+)\s+import\b",
-    r"""(require)\s*\(?\s*["']([^"']+)""",
-    r"""(?i)^\s*(import|use|using|include)\s+(?:public\s+|weak\s+|namespace\s+)?["']?([\w./:\\-]+)""",
+    r"""(require)(?:_once)?[\s(]+["']([^"']+)""",
+    r"""(?i)^[ \t]*(import|include|use|using)\s+(?:public\s+|weak\s+|namespace\s+)?["']?([\w./:\\-]+)""",
 )
 DECLARATIONS = (
-    (rf"(?i)^\s*{_MODS}(class|struct|interface|trait|enum|record|protocol|union|object|message|service|contract)\s+([A-Za-z_]\w*)", "type"),
-    (rf"(?i)^\s*{_MODS}(namespace|module|package)\s+([A-Za-z_][\w.]*)", "namespace"),
-    (rf"(?i)^\s*{_MODS}(fn|func|function|def|fun|sub|proc|procedure|rpc)\s+([A-Za-z_][\w.:]*)", "function"),
-    (r"(?i)^\s*create\s+(?:or\s+replace\s+)?(table|view|type)\s+([A-Za-z_][\w$.]*)", "type"),
-    (r"(?i)^\s*create\s+(?:or\s+replace\s+)?(function|procedure|trigger)\s+([A-Za-z_][\w$.]*)", "function"),
+    (rf"(?i)^\s*{_MODS}(class|contract|enum|interface|message|object|protocol|record|service|struct|trait|union)\s+([A-Za-z_]\w*)", "type"),
+    (rf"(?i)^\s*{_MODS}(module|namespace|package)\s+([A-Za-z_][\w.]*)", "namespace"),
+    (rf"(?i)^\s*{_MODS}(def|fn|fun|func|function|proc|procedure|rpc|sub)\s+([A-Za-z_][\w.:]*)", "function"),
+    (r"(?i)^[ \t]*create (?:or replace )?(table|type|view)\s+([A-Za-z_][\w.$]*)", "type"),
+    (r"(?i)^[ \t]*create (?:or replace )?(function|procedure|trigger)\s+([A-Za-z_][\w.$]*)", "function"),
 )
 
 
@@ -87,7 +89,8 @@ def callable_by_name(wanted: DataFrame, callables: DataFrame) -> DataFrame:
 
 def constants(lines: DataFrame) -> DataFrame:
     """``name, value`` of constants with exactly one string value in all files."""
-    p = (r"""^\s*(?:export\s+|pub(?:\([^)]*\))?\s+)?const\s+([A-Za-z_]\w*)[^=]*=\s*["']([^"']+)["']""", r"""^\s*([A-Z][A-Z0-9_]*)\s*=\s*["']([^"']+)["']""")
+    value = rf"\s*{Q}({INNER}){Q}"
+    p = (rf"^\s*(?:(?:export|pub|pub\([\w ]+\))\s+)?const\s+({NAME})[^=]*={value}", rf"^\s*([A-Z][A-Z\d_]*)\s*={value}")
     hit = F.coalesce(*[F.when(F.regexp_extract("line", x, 2) != "", F.struct(F.regexp_extract("line", x, 1).alias("name"), F.regexp_extract("line", x, 2).alias("value"))) for x in p])
     found = lines.select(hit.alias("x")).where("x is not null").select("x.*")
     return found.groupBy("name").agg(F.min("value").alias("value"), F.max("value").alias("_max")).where("value = _max").drop("_max")
@@ -95,6 +98,7 @@ def constants(lines: DataFrame) -> DataFrame:
 
 # HTTP
 
+VERBS = ("delete", "get", "patch", "post", "put")
 QUOTED = r"""["'`]((?:https?://[^"'`\s]+)?/[^"'`\s]*)["'`]"""
 
 
@@ -104,7 +108,7 @@ def routes(lines: DataFrame, bindings: DataFrame | None = None) -> DataFrame:
     A handler that is a name counts 1.0, one found through ``bindings(path, variable, handler)`` 0.95, else the
     registering function stands in with 0.7 (handler null here).
     """
-    call = r"""(?i)\.(handlefunc|handle|get|post|put|patch|delete)\(\s*["']((?:[A-Z]+ )?/[^"']*)["']\s*,\s*&?([A-Za-z_][\w.]*)?"""
+    call = rf"(?i)\.(handlefunc|handle|{'|'.join(VERBS)})\(" + r"""\s*["']((?:[A-Z]+ )?/[^"']*)["']\s*,\s*&?([A-Za-z_][\w.]*)?"""
     x = lines.select("path", "line_no", *[F.regexp_extract("line", call, i).alias(n) for i, n in ((1, "verb"), (2, "text"), (3, "name"))]).where("text != ''")
     method = F.coalesce(*[F.when(c != "", F.upper(c)) for c in (F.regexp_extract("text", r"^([A-Z]+) ", 1), F.when(F.lower("verb").isin("handlefunc", "handle"), "").otherwise(F.col("verb")))], F.lit("*"))
     route = normalize_route(F.regexp_replace("text", r"^[A-Z]+ ", ""))
@@ -124,7 +128,7 @@ def rails_routes(lines: DataFrame) -> DataFrame:
     import re
 
     block = re.compile(r"^\s*(namespace|scope|resources?|constraints|concern|member|collection)\b\s*\(?\s*[:\"']?/?([\w/-]*)")
-    verb = re.compile(r"^\s*(get|post|put|patch|delete)\s+[\"':]([^\"',\s]+)[\"']?(?:.*?(?:to:|=>)\s*[\"']([\w/]+#\w+))?")
+    verb = re.compile(rf"^\s*({'|'.join(VERBS)})\s+[\"':]([^\"',\s]+)[\"']?(?:.*?(?:to:|=>)\s*[\"']([\w/]+#\w+))?")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, stack = [], []
@@ -189,9 +193,10 @@ def http_contracts(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # Messages, configuration, processes, state
 
-REGISTRATION = r"""(?i)\b(?:register|subscribe|on|handle)_(?:handler|message|packet)\s*\(\s*([A-Za-z_][\w.:]*|["'][^"']+["'])"""
-ASSIGNED = r"""(?i)["']?\btype["']?\s*(?::=|:|=)\s*([A-Za-z_][\w.]*|["'][^"']+["'])"""
-BRANCH = r"""^\s*(?:case\s+)?([A-Za-z_][\w.]*|["'][^"']+["'])\s*(?::|=>)\s*(?:$|[^=])"""
+_TOKEN = rf"({NAME}(?:[.:]+\w+)*|{Q}{INNER}{Q})"
+REGISTRATION = rf"(?i)\b(?:register|subscribe|on|handle)_(?:handler|message|packet)\s*\(\s*{_TOKEN}"
+ASSIGNED = rf"(?i){Q}?\btype{Q}?\s*(?::=|:|=)\s*{_TOKEN}"
+BRANCH = rf"^\s*(?:case\s+)?{_TOKEN}\s*(?::|=>)\s*(?:$|[^=])"
 
 
 def _value(token: Column, name: str = "value") -> Column:
@@ -224,8 +229,8 @@ def messages(lines: DataFrame, known: DataFrame, dispatch_lines: int = 120) -> D
     return t.select("path", "line_no", "role", channel.alias("channel")).where("channel is not null").distinct()
 
 
-_NAME = r"""([A-Za-z_]\w*|["'][A-Za-z_]\w*["'])"""
-CONFIG_READS = tuple(p + _NAME for p in (r"\bos\.(?:Getenv|LookupEnv|getenv|environ\.get)\(\s*", r"\bENV\s*\[\s*", r"\bENV\.fetch\(\s*", r"\bOS\.get_environment\(\s*")) + (r"\bprocess\.env\.([A-Za-z_]\w*)",)
+_KEY = rf"({NAME}|{Q}{NAME}{Q})"
+CONFIG_READS = tuple(p + _KEY for p in (r"\bos\.(?:Getenv|LookupEnv|getenv|environ\.get)\(\s*", r"\bENV\s*\[\s*", r"\bENV\.fetch\(\s*", r"\bOS\.get_environment\(\s*")) + (rf"\bprocess\.env\.({NAME})",)
 
 
 def config_reads(lines: DataFrame, known: DataFrame) -> DataFrame:

@@ -88,7 +88,8 @@ def search_nodes(g: Graph, query: str, limit: int | None = None) -> DataFrame:
 
     Only ids are ranked; the winners' other columns are fetched by the projection after the top-k.
     """
-    q = ascii_lower(query.strip().replace("\\", "/"))
+    slashed = "/".join(query.strip().split("\\"))
+    q = ascii_lower(slashed)
     if not q:
         return g.nodes.where("false").withColumns({"rank": F.lit(0), "matched_fields": F.array().cast("array<string>")})
     fields, ranks = ("name", "qualified_name", "path"), []

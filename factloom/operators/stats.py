@@ -68,7 +68,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: f
     tf = tokens.join(vocabulary, "term", "left_semi").groupBy("doc_id", "term", "len").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     scored = asked.join(df, "term").join(tf, "term").crossJoin(corpus)
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.log1p((0.5 + F.col("n") - F.col("df")) / (0.5 + F.col("df")))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     total = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(idf * weight), 9).alias("score"))
     return total.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)

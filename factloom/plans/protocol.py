@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from typing import IO
 
 from pyspark.sql import DataFrame
@@ -11,13 +12,6 @@ from pyspark.sql import functions as F
 from ..graph import Graph, GraphError
 from ..operators import components, diff, export, lookup, stats, traverse
 
-OPERATIONS = (
-    "capabilities", "search_nodes", "resolve_symbol", "resolve_file", "list_nodes", "export_graph", "neighbors", "paths",
-    "reachability", "impact", "shortest_call_chain", "dead_symbols", "operational_role", "architecture_summary",
-    "unresolved", "stats", "diff",
-)
-
-
 def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
@@ -45,7 +39,7 @@ class QuerySession:
         head = {"id": request["id"]} if "id" in request else {}
         try:
             args = {k: v for k, v in request.items() if k not in ("id", "op")}
-            if request.get("op") not in OPERATIONS:
+            if request.get("op") not in operations():
                 raise GraphError("invalid_json", f"unknown operation {request.get('op')!r}")
             return head | {"ok": True, "result": getattr(self, f"_{request['op']}")(**args)}
         except GraphError as e:
@@ -58,7 +52,7 @@ class QuerySession:
             return head | {"ok": False, "error": {"code": "query_failed", "message": str(e)[:500]}}
 
     def _capabilities(self):
-        return {"operations": list(OPERATIONS)}
+        return {"operations": operations()}
 
     def _search_nodes(self, query, limit=None):
         return {"nodes": _rows(lookup.search_nodes(self.graph, query, limit))}
@@ -138,3 +132,8 @@ class QuerySession:
         for r in diff.diff(self.graph, other).orderBy("change", "key").collect():
             out.setdefault(r["change"], []).append(r["key"])
         return {k: v[: lookup.bounded(limit)] for k, v in out.items()}
+
+
+def operations() -> list[str]:
+    """Names of the requests that a session answers: its methods with one leading underscore."""
+    return [n[1:] for n in vars(QuerySession) if re.match("_[a-z]", n)]

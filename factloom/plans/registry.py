@@ -461,7 +461,7 @@ _BM = r"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filte
   c AS (SELECT count(*) AS n, avg(len(ws)) AS avg_len FROM t),
   f AS (SELECT doc_id, term, len, count(*) AS tf FROM (SELECT doc_id, len(ws) AS len, unnest(ws) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
   df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
-  s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 9) AS score FROM q JOIN df USING (term) JOIN f USING (term), c GROUP BY ALL)
+  s AS (SELECT query_id, doc_id, round(sum(ln(1 + (0.5 + n - df) / (0.5 + df)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 9) AS score FROM q JOIN df USING (term) JOIN f USING (term), c GROUP BY ALL)
   SELECT query_id, doc_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s) WHERE rank <= 10"""
 
 

@@ -4,43 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-NODE_KINDS = (
-    "repository", "directory", "file", "module", "namespace", "symbol", "type", "interface", "trait", "function",
-    "method", "constructor", "field", "variable", "constant", "signal", "parameter", "import", "export", "test",
-    "http-endpoint", "message-channel", "config-key", "process", "cli-command", "protocol", "state-path",
-)
+NODE_KINDS = tuple(
+    """
+    cli-command config-key constant constructor directory export field file function http-endpoint import
+    interface message-channel method module namespace parameter process protocol repository signal state-path
+    symbol test trait type variable
+    """.split()
+)
 
 #: In traversal order: it breaks ties in traversals and orders echoed relation lists.
-RELATIONS = (
-    "contains", "defines", "references", "imports", "calls", "possible-calls", "passes-to", "observed-calls",
-    "converts-to", "implements", "extends", "uses-trait", "overrides", "reads", "writes", "annotates", "includes",
-    "depends-on", "routes-to", "communicates-with", "tests", "documents", "generates", "similar-to", "calls-endpoint",
-    "handled-by", "publishes", "consumes", "reads-config", "invokes-process", "produces-message", "consumes-message",
-)
+RELATIONS = tuple(
+    """
+    contains defines references imports calls possible-calls passes-to observed-calls converts-to implements
+    extends uses-trait overrides reads writes annotates includes depends-on routes-to communicates-with tests
+    documents generates similar-to calls-endpoint handled-by publishes consumes reads-config invokes-process
+    produces-message consumes-message
+    """.split()
+)
 TRAVERSAL_ORDER = {r: i for i, r in enumerate(RELATIONS)}
 
-_STORED = (
-    "contains", "defines", "references", "imports", "calls", "implements", "extends", "includes", "depends-on",
-    "tests", "documents", "generates", "possible-calls", "converts-to", "uses-trait", "overrides", "reads", "writes",
-    "annotates", "passes-to", "observed-calls", "routes-to", "communicates-with", "similar-to", "calls-endpoint",
-    "handled-by", "publishes", "consumes", "reads-config", "invokes-process", "produces-message", "consumes-message",
-)
+_STORED = """
+    contains defines references imports calls implements extends includes depends-on tests documents generates
+    possible-calls converts-to uses-trait overrides reads writes annotates passes-to observed-calls routes-to
+    communicates-with similar-to calls-endpoint handled-by publishes consumes reads-config invokes-process
+    produces-message consumes-message
+""".split()
 #: Storage codes: they order adjacency, so what ``neighbors`` returns.
 RELATION_CODE = {r: i + 1 for i, r in enumerate(_STORED)}
 
-REASONS = (
-    "missing-target", "ambiguous-target", "unsupported-form", "dynamic-target", "external-target", "builtin-target",
-    "generated-target", "type-conversion", "self-target", "unsupported-macro-expansion", "macro-argument-mismatch",
-    "macro-expansion-cycle", "macro-expansion-depth", "compiler-analysis-failed", "compiler-identity-mismatch",
-)
+REASONS = tuple(
+    """
+    ambiguous-target builtin-target compiler-analysis-failed compiler-identity-mismatch dynamic-target
+    external-target generated-target macro-argument-mismatch macro-expansion-cycle macro-expansion-depth
+    missing-target self-target type-conversion unsupported-form unsupported-macro-expansion
+    """.split()
+)
 
-_EVENTS = frozenset({"calls-endpoint", "handled-by", "publishes", "consumes", "invokes-process", "produces-message", "consumes-message"})
+_EVENTS = frozenset("calls-endpoint consumes consumes-message handled-by invokes-process produces-message publishes".split())
 CALL_RELATIONS = frozenset({"calls", "observed-calls"}) | _EVENTS
 IMPACT_RELATIONS = CALL_RELATIONS | {"possible-calls", "passes-to", "references", "reads-config"}
-ARCHITECTURE_RELATIONS = CALL_RELATIONS | {
-    "imports", "possible-calls", "implements", "extends", "uses-trait", "overrides", "includes", "depends-on",
-    "routes-to", "communicates-with", "reads-config",
-}
+ARCHITECTURE_RELATIONS = CALL_RELATIONS | frozenset(
+    """
+    communicates-with depends-on extends implements imports includes overrides possible-calls reads-config
+    routes-to uses-trait
+    """.split()
+)
 ROLE_RELATIONS = frozenset({"calls", "possible-calls", "observed-calls"})
 DEAD_KINDS = ("function", "method", "constructor")
 
@@ -60,7 +68,7 @@ RELATION_PRIORITY = {
 }
 
 #: Kinds that never get a semantic document.
-NOT_SEMANTIC = ("repository", "directory", "field", "variable", "parameter", "import", "export", "constant", "test")
+NOT_SEMANTIC = tuple("constant directory export field import parameter repository test variable".split())
 
 
 def call_relations(include_possible: bool = True) -> frozenset[str]:

@@ -25,7 +25,7 @@ def write_tsv(facts: FactSet, path: str) -> None:
     span = F.to_json("span")
     n = lines(facts.nodes, "node", [F.col(c) for c in ("id", "kind", "path", "name", "qualified_name", "content_id", "owner")] + [span, F.col("attributes")])
     e = lines(facts.edges, "edge", [F.col(c) for c in ("source", "target", "relation", "owner")] + [span, F.col("attributes")])
-    u = lines(facts.unresolved, "unresolved", [F.col(c) for c in ("source", "relation", "expression", "reason", "candidate_name", "candidate_namespace", "owner")] + [span, F.col("attributes")])
+    u = lines(facts.unresolved, "unresolved", [F.col(c) for c in "source relation expression reason candidate_name candidate_namespace owner".split()] + [span, F.col("attributes")])
     spark = facts.nodes.sparkSession
     head = spark.createDataFrame([(TSV_VERSION,)], "c0 string").select("c0", *[F.lit(None).cast("string").alias(f"c{i}") for i in range(1, _WIDTH)])
     head.unionByName(n).unionByName(e).unionByName(u).write.mode("overwrite").csv(path, sep="\t", nullValue="\\N", escape='"', quoteAll=True, emptyValue="")
@@ -43,7 +43,7 @@ def read_tsv(spark: SparkSession, path: str) -> FactSet:
     return FactSet(
         part("node", ["id", "kind", "path", "name", "qualified_name", "content_id", "owner", "span", "attributes"], schema.NODE),
         part("edge", ["source", "target", "relation", "owner", "span", "attributes"], schema.EDGE),
-        part("unresolved", ["source", "relation", "expression", "reason", "candidate_name", "candidate_namespace", "owner", "span", "attributes"], schema.UNRESOLVED),
+        part("unresolved", "source relation expression reason candidate_name candidate_namespace owner span attributes".split(), schema.UNRESOLVED),
     )
 
 
@@ -87,7 +87,7 @@ LANGUAGES = {
     "ruby": ("rb",), "gdscript": ("gd",), "lotusscript": ("lss",),
 }
 CONFIG_FILES = {"pyproject.toml": "python", "Cargo.toml": "rust", "go.mod": "go", "package.json": "typescript", "tsconfig.json": "typescript", "build.gradle.kts": "kotlin", "Gemfile": "ruby", "project.godot": "gdscript"}
-IGNORED = (".git", "node_modules", "target", "__pycache__", ".venv", "dist", "build")
+IGNORED = tuple(".git .venv __pycache__ build dist node_modules target".split())
 
 
 def extension(path: Column) -> Column:
@@ -123,7 +123,7 @@ def source_lines(files: DataFrame) -> DataFrame:
 
 def dumps(value) -> str:
     """Canonical JSON: sorted keys, no blanks."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
 
 
 def atomic_write(path: str, text: str) -> None:

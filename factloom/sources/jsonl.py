@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..graph import FactSet, GraphError
 
-ID = r"^sha256:[0-9a-f]{64}$"
+ID = "^sha256:(?:[a-f0-9]{2}){32}$"
 
 
 def read(spark: SparkSession, path: str, validate: bool = True, linker_language: str = "cross-language") -> tuple[dict, FactSet]:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-TOPOLOGIES = ("modular", "entangled", "hub-heavy", "layered", "dense-subsystem")
+TOPOLOGIES = tuple("dense-subsystem entangled hub-heavy layered modular".split())
 TIERS = {"small": (10_000, 100_000), "medium": (100_000, 1_000_000), "large": (1_000_000, 10_000_000), "stress": (5_000_000, 50_000_000)}
 
 

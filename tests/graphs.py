@@ -33,7 +33,7 @@ def dense(spark):
 def architecture(spark):
     names = (("10", "handler", "function"), ("20", "service", "function"), ("30", "repository", "function"), ("40", "worker", "function"), ("50", "queue", "type"), ("60", "isolated", "function"))
     nodes = [(k, kind, f"src/{n}/{n}.go" if n != "service" else "src/service/service.go", n) for k, n, kind in names]
-    edges = [("10", "20", "routes-to"), ("20", "30", "observed-calls"), ("40", "50", "communicates-with"), ("30", "50", "similar-to")]
+    edges = [("30", "50", "similar-to"), ("40", "50", "communicates-with"), ("20", "30", "observed-calls"), ("10", "20", "routes-to")]
     return build(spark, nodes, edges)
 
 

@@ -6,7 +6,7 @@ import pytest
 from factloom import schema, synth
 from factloom.graph import GraphError, apply_overlay, check_overlay, checksum, compact, compile_graph, edge_changes
 from factloom.operators import components, diff, export, lookup, stats, traverse, vector
-from factloom.plans.protocol import QuerySession
+from factloom.plans.protocol import QuerySession, operations
 from tests import graphs
 
 
@@ -64,7 +64,7 @@ def test_dense_traversal(dense):
 
 def test_architecture(spark):
     g = graphs.architecture(spark)
-    rel = ["routes-to", "observed-calls", "communicates-with"]
+    rel = ["observed-calls", "communicates-with", "routes-to"]
     totals, listed = components.summary(g, None, rel, 2)
     t = totals.first()
     assert (t["node_count"], t["internal_edges"], t["component_count"], t["community_count"], t["excluded_nodes"]) == (6, 3, 3, 2, 1)
@@ -216,18 +216,23 @@ def test_vector_and_documents(spark, dense):
 def test_stats_and_protocol(spark, analysis):
     assert {(r["section"], r["name"]): r["count"] for r in stats.stats(analysis).collect()}[("edges", "calls")] == 2
     s = QuerySession(analysis, lambda p: analysis)
+    def ask(op, **args):
+        return {"op": op} | args
+
+    ends = {"from_node_id": 1, "to_node_id": 3}
     requests = [
-        {"op": "capabilities"}, {"op": "search_nodes", "query": "tar"}, {"op": "resolve_symbol", "name": "entry"}, {"op": "resolve_file", "path": "analysis.go"},
-        {"op": "list_nodes", "limit": 2}, {"op": "export_graph", "limit": 2}, {"op": "neighbors", "node_id": 1, "direction": "outgoing"},
-        {"op": "paths", "from_node_id": 1, "to_node_id": 3}, {"op": "reachability", "entry_node_ids": [1]}, {"op": "impact", "node_id": 3},
-        {"op": "shortest_call_chain", "from_node_id": 1, "to_node_id": 3}, {"op": "dead_symbols", "entry_node_ids": [1]},
-        {"op": "operational_role", "node_id": 2, "entry_node_ids": [1]}, {"op": "architecture_summary"}, {"op": "unresolved"}, {"op": "stats"}, {"op": "diff", "other_snapshot": "x"},
+        ask("stats"), ask("capabilities"), ask("search_nodes", query="tar"), ask("resolve_symbol", name="entry"), ask("resolve_file", path="analysis.go"),
+        ask("list_nodes", limit=2), ask("export_graph", limit=2), ask("neighbors", node_id=1, direction="outgoing"), ask("paths", **ends),
+        ask("reachability", entry_node_ids=[1]), ask("impact", node_id=3), ask("shortest_call_chain", **ends), ask("dead_symbols", entry_node_ids=[1]),
+        ask("operational_role", node_id=2, entry_node_ids=[1]), ask("architecture_summary"), ask("unresolved"), ask("diff", other_snapshot="x"),
     ]
+    assert {r["op"] for r in requests} == set(operations())
     for r in requests:
         answer = json.loads(s.handle_line(json.dumps(r | {"id": 7})))
         assert answer["ok"] and answer["id"] == 7, answer
     assert s.handle({"op": "list_nodes", "limit": 2})["result"]["next_offset"] == 2
-    for line, code in (("{", "invalid_json"), ('{"op": "impact", "node_id": 50}', "unknown_node"), ('{"op": "neighbors", "node_id": 1, "direction": "outgoing", "relation": "x"}', "invalid_relation"), ('{"op": "resolve_file", "path": "../x"}', "invalid_path"), ('{"op": "reachability", "entry_node_ids": []}', "missing_entry_points")):
+    wrong = [(ask("impact", node_id=50), "unknown_node"), (ask("neighbors", node_id=1, direction="outgoing", relation="x"), "invalid_relation"), (ask("resolve_file", path="../x"), "invalid_path"), (ask("reachability", entry_node_ids=[]), "missing_entry_points")]
+    for line, code in [("{", "invalid_json"), *((json.dumps(r), c) for r, c in wrong)]:
         assert json.loads(s.handle_line(line))["error"]["code"] == code
     assert s.handle({"op": "stats"})["ok"]
 
