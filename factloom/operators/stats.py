@@ -60,11 +60,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: f
     Queries are few and their terms are joined before any counting, so only postings of asked terms are shuffled.
     Scores are rounded to 9 places, so that equal documents tie by id.
     """
-    size = docs.select("doc_id", F.size(terms(F.col("text"))).alias("len"))
-    corpus = size.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    # the list is made once a document; else its length would be computed anew for each of its terms
+    listed = docs.select("doc_id", terms(F.col("text")).alias("words")).select("doc_id", "words", F.size("words").alias("len"))
+    corpus = listed.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     vocabulary = asked.select("term").distinct()
-    tokens = docs.select("doc_id", F.explode(terms(F.col("text"))).alias("term"), F.size(terms(F.col("text"))).alias("len"))
+    tokens = listed.select("doc_id", "len", F.explode("words").alias("term"))
     tf = tokens.join(vocabulary, "term", "left_semi").groupBy("doc_id", "term", "len").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     scored = asked.join(df, "term").join(tf, "term").crossJoin(corpus)
