@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -42,6 +43,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote; nothing that reads them may run later."""
+    for df in frames:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/factloom-" in path:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the driver drop plans that are no longer held; Spark then deletes their shuffle files on the executors.
+
+    Loops over many short jobs would else keep them until the driver happens to run a full collection.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def arrow_limits(spark: SparkSession) -> None:
     """Bound the bytes of one Arrow batch, so that very long texts don't pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))

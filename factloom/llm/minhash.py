@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -37,6 +37,8 @@ from . import common
 TREES, DEPTH, LEAST_DEPTH, BLOCK, HUBS = 16, 8, 3, 128, 16
 #: Candidate classes up to which their ids are broadcast to the texts (some 40 bytes each); more are joined in a shuffle.
 BROADCAST_CLASSES = 1_000_000
+#: Pairs up to which a round's pairs are broadcast to the texts (some 80 bytes each).
+BROADCAST_PAIRS = 500_000
 _HASHES = TREES * DEPTH
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _MUL = (_RNG.integers(1, 1 << 31, _HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
@@ -239,17 +241,25 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         small = common.materialise(small, name)
         mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1))))
-        if e.agg(mark.alias("m")).first() == small.agg(mark.alias("m")).first():
-            break
+        done = e.agg(mark.alias("m")).first() == small.agg(mark.alias("m")).first()
+        common.discard(e, large)
         e = small
+        if done:
+            break
     return e.select(F.col("u").alias("v"), F.col("v").alias("c")).unionByName(e.select("v", F.col("v").alias("c")).distinct())
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` with 100 * intersection >= percent * union on the full sets of their ``texts`` (sid, text)."""
     common.arrow_limits(pairs.sparkSession)
-    with_a = pairs.select("a", "b").join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a")
-    with_both = with_a.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
+    first, second = (texts.select(F.col("sid").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+    if pairs.count() <= BROADCAST_PAIRS:
+        # texts are big and pairs short: only texts of these pairs are shuffled, once as either side
+        second = second.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+        with_a = first.join(F.broadcast(pairs.select("a", "b")), "a")
+    else:
+        with_a = pairs.select("a", "b").join(first, "a")
+    with_both = with_a.join(second, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -282,8 +292,7 @@ def _label(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     named = common.materialise(ends.join(classes.select("sid", "rep"), "sid"), "minhash-named")
     texts = common.materialise(_texts(docs, named, k, id_col, text_col), "minhash-texts")
-    links = _link(spark, pairs, texts, k, percent)
-    comp = components(links, "minhash-final").join(classes.select(F.col("sid").alias("v"), "rep"), "v")
+    comp = _link(pairs, texts, k, percent).join(classes.select(F.col("sid").alias("v"), "rep"), "v")
     smallest = comp.groupBy("c").agg(F.min("rep").alias("component_id"))
     linked = comp.join(smallest, "c").select(F.col("v").alias("sid"), "component_id")
     label = classes.select("sid", "rep").join(linked, "sid", "left").select("sid", F.coalesce("component_id", "rep").alias("component_id"))
@@ -314,11 +323,10 @@ def _texts(docs: DataFrame, named: DataFrame, k: int, id_col: str, text_col: str
     return by_id.unionByName(nameless).groupBy("sid").agg(F.min("text").alias("text"))
 
 
-def _link(spark: SparkSession, pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Confirmed links that connect all that the confirmed candidates connect."""
-    left = pairs
-    found: DataFrame | None = None
-    most = 1
+def _link(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """``v, c``: components of the confirmed candidates; those of one class alone are left out."""
+    left, found, most, old = pairs, None, 1, []
+    comp = pairs.select(F.col("a").alias("v"), F.col("b").alias("c")).where("false")
     while True:
         if found is None:
             open_pairs = left.select("a", "b", "est", F.col("a").alias("ca"), F.col("b").alias("cb"))
@@ -331,16 +339,18 @@ def _link(spark: SparkSession, pairs: DataFrame, texts: DataFrame, k: int, perce
                 .where("ca != cb")
             )
         open_pairs = common.materialise(open_pairs, "minhash-open")
+        common.discard(*old)
+        common.free_shuffles(pairs.sparkSession)
         if open_pairs.isEmpty():
-            return found if found is not None else pairs.select("a", "b")
-        ends = open_pairs.select("a", "b", "est", F.col("ca").alias("c")).unionByName(open_pairs.select("a", "b", "est", F.col("cb").alias("c")))
-        ends.createOrReplaceTempView("_minhash_ends")
-        best = spark.sql(f"select a, b from (select a, b, row_number() over (partition by c order by est desc, a, b) as n from _minhash_ends) where n <= {most}").distinct()
-        chosen = common.materialise(best, "minhash-chosen")
+            return comp
+        ends = open_pairs.select("a", "b", "est", F.explode(F.array("ca", "cb")).alias("c"))
+        best = ends.selectExpr("a", "b", "row_number() over (partition by c order by est desc, a, b) as n").where(F.col("n") <= most)
+        chosen = common.materialise(best.select("a", "b").distinct(), "minhash-chosen")
         new = common.materialise(confirm(chosen, texts, k, percent), "minhash-new")
         found = new if found is None else found.unionByName(new)
         left = open_pairs.select("a", "b", "est").join(chosen, ["a", "b"], "left_anti")
-        most *= 8
+        old = [open_pairs, chosen, comp] if most > 1 else [open_pairs, chosen]
+        most *= 16
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
