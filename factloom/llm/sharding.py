@@ -43,6 +43,8 @@ def assign(docs: DataFrame, weights: list[float], grown: list[float] | None = No
     """
     if len(weights) * 16**cell_digits > MOST_CELLS:
         raise ValueError(f"shards times cells must not exceed {MOST_CELLS}")
+    if not weights:
+        raise ValueError("there is no shard")
     grown = grown or [*weights, sum(weights) / len(weights)]
     rows = docs.select(
         F.col(id_col).alias("id"),
