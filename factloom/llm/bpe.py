@@ -14,21 +14,26 @@ import base64
 import functools
 import hashlib
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Parts in the young half of a worker's table; when it is full, it becomes the old half, whose unused parts go.
-CACHE_PARTS = 200_000
+CACHE_PARTS = 250_000
 #: Parts longer than this are encoded without being kept.
 CACHE_PART_CHARS = 48
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+_SPACES = r"\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Texts with white space beside a space (in RE2, which knows no Unicode in ``\s``) are cut by the regular expression above.
+_ODD_RE2 = rf"  |^ | $|[\n{_SPACES}] | [\n{_SPACES}]"
 
 
 def byte_table() -> dict[int, str]:
@@ -68,13 +73,6 @@ def ranks_tokenizer(ranks: dict[bytes, int], pattern: str):
     return tok
 
 
-def _parts(text: str) -> list[str]:
-    """The text cut at each single space between two other characters that are no white space."""
-    if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or _OTHER_SPACE.search(text):
-        return _CUT.split(text)
-    return text.split(" ")
-
-
 class Codec:
     """Encodes and decodes whole texts; made once a worker from a vocabulary file."""
 
@@ -99,38 +97,63 @@ class Codec:
         self.old: dict[str, bytes] = {}
 
     def _ids(self, parts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(parts, add_special_tokens=False)]
-
-    def encode_packed(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers.
+        out = [array("I", e.ids) for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
+        for x in out if sys.byteorder == "big" else ():
+            x.byteswap()
+        return [x.tobytes() for x in out]
 
-        The table holds a part under its characters without the space that stands before it; the first part of a
-        text has none and isn't kept.
-        """
+    def _look_up(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part with a space before it; parts are distinct."""
         if len(self.cache) > CACHE_PARTS:
             self.old, self.cache = self.cache, {}
-        cache, old, rows, want, firsts = self.cache, self.old, [], set(), []
-        for text in texts:
-            first, *parts = _parts(text or "")
-            firsts.append(first)
-            ids = list(map(cache.get, parts))
-            lacks = None in ids
-            if lacks:
-                want.update([p for p, x in zip(parts, ids, strict=True) if x is None])
-            rows.append((parts, ids, lacks))
-        if old:
-            cache.update([(p, old[p]) for p in want if p in old])
-            want = [p for p in want if p not in old]
-        want, once = list(want), {}
-        for p, x in zip(want, self._ids([" " + p for p in want]), strict=True):
-            (cache if len(p) <= CACHE_PART_CHARS else once)[p] = x
-        out = []
-        for first, (parts, ids, lacks) in zip(self._ids(firsts), rows, strict=True):
-            if lacks:
-                ids = [once[p] if p in once else cache[p] for p in parts]
-            out.append(first + b"".join(ids))
+        cache, old = self.cache, self.old
+        out = list(map(cache.get, parts))
+        lack = [k for k, x in enumerate(out) if x is None]
+        if old and lack:
+            for k in lack:
+                x = old.get(parts[k])
+                if x is not None:
+                    out[k] = cache[parts[k]] = x
+            lack = [k for k in lack if out[k] is None]
+        for k, x in zip(lack, self._ids([" " + parts[k] for k in lack]), strict=True):
+            out[k] = x
+            if len(parts[k]) <= CACHE_PART_CHARS:
+                cache[parts[k]] = x
         return out
 
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in one array, and where each text's ids begin and end in it.
+
+        Cutting, finding the distinct parts and putting ids in place run in Arrow and NumPy; Python only sees each
+        distinct part of a batch once. The first part of a text has no space before it and isn't kept.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, _ODD_RE2)
+        if pc.any(odd).as_py():
+            cut = pa.array([_CUT.split(t) if o else t.split(" ") for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)], pa.large_list(pa.large_string()))
+        else:
+            cut = pc.split_pattern(texts, " ")
+        at = cut.offsets.to_numpy().astype(np.int64)
+        parts = cut.values.slice(at[0], at[-1] - at[0])
+        at = at - at[0]
+        coded = parts.dictionary_encode()
+        held = self._look_up(coded.dictionary.to_pylist())
+        firsts = self._ids(parts.take(pa.array(at[:-1])).to_pylist())
+        which = coded.indices.to_numpy().astype(np.int64)
+        which[at[:-1]] = len(held) + np.arange(len(firsts))
+        table = np.frombuffer(b"".join(held + firsts), "<u4")
+        size = np.fromiter(map(len, held + firsts), np.int64, len(held) + len(firsts)) // 4
+        start = np.cumsum(size) - size
+        n = size[which]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        place = np.repeat(start[which] - ends[:-1], n) + np.arange(ends[-1])
+        return table[place], ends[at]
+
+    def encode_packed(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        flat, at = self.encode_flat(pa.array(texts, pa.string()))
+        return [flat[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids; a character split over tokens comes together again here."""
         return b"".join(self.pieces[ids].tolist())
@@ -165,7 +188,8 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for b in batches:
-            packed = [np.frombuffer(x, "<u4") for x in c.encode_packed(b.column(1).to_pylist())]
+            flat, at = c.encode_flat(b.column(1))
+            packed = np.split(flat, at[1:-1]) if b.num_rows else []
             cols = [b.column(0), pa.array([x.astype("<i4") for x in packed], pa.list_(pa.int32()))]
             if offsets:
                 both = [c.offsets(x) for x in packed]
@@ -207,8 +231,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str | None = None, id_col: s
         digits = np.array([str(i) for i in range(len(c.pieces))], dtype=object)
         for b in batches:
             n, ids_sha, raw_sha = [], [], []
-            for packed in c.encode_packed(b.column(1).to_pylist()):
-                ids = np.frombuffer(packed, "<u4")
+            flat, at = c.encode_flat(b.column(1))
+            for ids in np.split(flat, at[1:-1]) if b.num_rows else ():
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(digits[ids].tolist()).encode()).hexdigest())
                 raw_sha.append(hashlib.sha256(c.decode_bytes(ids)).hexdigest())

@@ -54,19 +54,19 @@ def by_ranges(docs: DataFrame, id_col: str, text_col: str, rows_a_part: int = RO
 def write_tokens(docs: DataFrame, out: str, path: str, pattern: str | None = None, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", encoding: str = "delta", row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10, rows_a_part: int = ROWS_A_PART) -> None:
     """Encode every whole text and write ``doc_id, part, start_in_part, n_tokens, ids`` to ``out``."""
     common.arrow_limits(docs.sparkSession)
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, part, at = bpe.codec(path, pattern), None, 0
+        c, part, before = bpe.codec(path, pattern), None, 0
         for b in batches:
-            packed = [x + end for x in c.encode_packed(b.column(1).to_pylist())]
-            lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-            starts = np.empty(len(packed), np.int64)
+            flat, at = c.encode_flat(b.column(1))
+            if end_id is not None:
+                flat, at = np.insert(flat, at[1:], end_id), at + np.arange(len(at))
+            lengths = np.diff(at)
+            starts = np.empty(len(lengths), np.int64)
             for k, (p, n) in enumerate(zip(b.column(2).to_pylist(), lengths.tolist(), strict=True)):
-                part, at = (p, at) if p == part else (p, 0)
-                starts[k] = at
-                at += n
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))
+                part, before = (p, before) if p == part else (p, 0)
+                starts[k] = before
+                before += n
+            ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(starts), pa.array(lengths), ids], ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
 
     rows = by_ranges(docs, id_col, text_col, rows_a_part).mapInArrow(common.trimmed(run), "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, ids array<int>")
