@@ -361,6 +361,8 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col:
     """
     kept = common.materialise(_label(docs, k, percent, id_col, text_col), "minhash-kept")
     gone = kept.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_gone")).distinct()
+    # ids are short and rows long: up to the bound only the ids travel
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_CLASSES else gone
     named = docs.where(F.col(id_col).isNotNull())
     rest = named.join(gone, named[id_col].cast("long") == gone["_gone"], "left_anti")
     if not kept.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
