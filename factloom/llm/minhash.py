@@ -6,14 +6,16 @@
    region is a run of classes with the same first ``LEAST_DEPTH`` values. In a small region all classes are compared
    by sketch; in a larger one each is compared with the ``BLOCK`` nearest in order, i.e. those with the longest
    common prefixes, so the depth adapts to how crowded the region is, and with the few that resemble all others most. A region that is one range after another is
-   cut at random places which differ from tree to tree.
+   cut at random places which differ from tree to tree. These are the best pairs, not all.
 3. Candidates whose sketch allows the wanted similarity are confirmed on full sets. Pairs inside a component that
    confirmed links already connect need no test; each round tests the best pairs between components, and the rounds go
    on until every candidate is confirmed, refuted or within a component.
-4. Components are found by alternating large-star and small-star steps over tables in the shared folder.
+4. The completion: in each region of any size that holds several of the components found so far, all pairs across
+   components are compared by sketch, block against block over several tasks, and those that are new go through 3.
+5. Components are found by alternating large-star and small-star steps over tables in the shared folder.
 
-A pair with similarity s misses all trees with probability about ``(1 - s ** LEAST_DEPTH) ** TREES``, 1e-5 at 0.8,
-unless its region is crowded.
+A pair with similarity s misses all trees with probability about ``(1 - s ** LEAST_DEPTH) ** TREES``, 1e-5 at 0.8;
+crowded regions miss no more.
 
 Edge cases: null or wordless texts have an empty set, link to nothing and are their own component; a text of fewer
 words than a shingle is one shingle; rows with a null id join their class, whose component is named by the smallest
@@ -39,6 +41,8 @@ TREES, DEPTH, LEAST_DEPTH, BLOCK, HUBS = 16, 8, 3, 128, 16
 BROADCAST_CLASSES = 1_000_000
 #: Pairs up to which a round's pairs are broadcast to the texts (some 80 bytes each).
 BROADCAST_PAIRS = 500_000
+#: Classes in a block of the completion, texts in a block of ``_confirm_blocks``, and pairs a text from which that serves.
+CROWD, TEXTS, DENSE = 4096, 256, 16
 _HASHES = TREES * DEPTH
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _MUL = (_RNG.integers(1, 1 << 31, _HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
@@ -141,7 +145,7 @@ def _hub_pairs(x: np.ndarray, least: float) -> list[tuple[int, int, float]]:
 
 def _block_pairs(est: np.ndarray, least: float, strong: float) -> set[tuple[int, int]]:
     """Of the pairs that reach ``least``: a spanning forest by falling estimate, the two best of each row, and all
-    pairs of rows without a ``strong`` partner. Those left out lie within what the forest connects."""
+    pairs of rows without a ``strong`` partner. Those left out wait for ``crossing``."""
     n = len(est)
     i, j = np.nonzero(np.triu(est >= least, 1))
     if len(i) <= n:
@@ -170,11 +174,15 @@ def _block_pairs(est: np.ndarray, least: float, strong: float) -> set[tuple[int,
     return keep
 
 
+def _bound(similarity: float) -> float:
+    return similarity - SLACK * (similarity * (1 - similarity) / _HASHES) ** 0.5 / (15 / 16)
+
+
 def forest(classes: DataFrame, similarity: float) -> DataFrame:
     """Candidate pairs ``a, b, est`` (a < b) of ``sid, keys, sketch`` rows; a pair may come from several trees."""
     spark = classes.sparkSession
     common.arrow_limits(spark)
-    least = similarity - SLACK * (similarity * (1 - similarity) / _HASHES) ** 0.5 / (15 / 16)
+    least = _bound(similarity)
     strong = min(similarity + 0.1, 1.0)
     width = 2 * DEPTH
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
@@ -224,6 +232,76 @@ def forest(classes: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(common.trimmed(run), "a binary, b binary, est float")
 
 
+def _cross_pairs(x: np.ndarray, n: np.ndarray, c: np.ndarray, side: np.ndarray, least: float, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers and estimates of the pairs in different components ``c`` that reach ``least`` and whose set sizes
+    ``n`` allow the similarity; where both values of ``side`` occur, of pairs across sides only."""
+    names, counts = np.unique(c, return_counts=True)
+    big = c == names[np.argmax(counts)]  # its rows needn't be compared with each other
+    if side.any() and not side.all():
+        work = [(np.flatnonzero(~side & ~big), np.flatnonzero(side)), (np.flatnonzero(~side & big), np.flatnonzero(side & ~big))]
+    else:
+        few = np.flatnonzero(~big)
+        work = [(few, np.concatenate((np.flatnonzero(big), few)))]
+    for left, right in work:
+        for i in (left[a : a + 64] for a in range(0, len(left), 64)):
+            for j in (right[a : a + 1024] for a in range(0, len(right), 1024)):
+                ni, nj = n[i][:, None], n[j][None, :]
+                ok = (c[i][:, None] != c[j][None, :]) & (100 * np.minimum(ni, nj) >= percent * np.maximum(ni, nj))
+                if len(work) == 1:
+                    ok &= big[j][None, :] | (i[:, None] < j[None, :])
+                u, v = np.nonzero(ok)
+                u, v = i[u], j[v]
+                d = x[u] ^ x[v]
+                d = (d | d >> np.uint64(1) | d >> np.uint64(2) | d >> np.uint64(3)) & np.uint64(0x1111111111111111)
+                est = (1 - np.bitwise_count(d).sum(-1, dtype=np.int64) / _HASHES - 1 / 16) / (15 / 16)
+                if (hit := est >= least).any():
+                    yield u[hit], v[hit], est[hit]
+
+
+def crossing(classes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """All pairs ``a, b, est`` (a < b, each once) of a common region whose sketches and sizes allow the similarity and
+    whose components in ``comp`` differ. ``classes`` has ``sid, keys, sketch, n``."""
+    spark = classes.sparkSession
+    common.arrow_limits(spark)
+    least = _bound(percent / 100)
+    regions = F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(keys, t * {2 * DEPTH} + 1, {2 * LEAST_DEPTH})))")
+    own = classes.join(comp.select(F.col("v").alias("sid"), "c"), "sid", "left").select("sid", "sketch", "n", F.xxhash64(F.coalesce("c", "sid")).alias("c"), regions.alias("regions"))
+    own = common.materialise(own, "minhash-regions")
+    each = own.select("sid", "c", F.explode("regions").alias("region"))
+    mixed = each.groupBy("region").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
+    mixed = common.materialise(mixed.select("region", F.ceil(F.col("size") / CROWD).cast("int").alias("blocks")), "minhash-mixed")
+    member = each.select("sid", "region").join(F.broadcast(mixed) if mixed.count() <= BROADCAST_CLASSES else mixed, "region")
+    member = member.withColumn("i", F.pmod(F.xxhash64("sid"), "blocks").cast("int")).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = member.join(own, "sid").select("region", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "sid", "sketch", "n", "c", "regions")
+    rows = rows.repartition("region", "p", "q").sortWithinPartitions("region", "p", "q")
+
+    def pairs_of(at: tuple, group: list[tuple]) -> Iterator[pa.RecordBatch]:
+        side, sids, sketches, n, c, regions = zip(*group, strict=True)
+        x = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sids), -1)
+        rs = np.array(regions, np.int64)
+        for u, v, e in _cross_pairs(x, np.array(n, np.int64), np.array(c, np.int64), np.array(side) != at[1], least, percent):
+            same = rs[u] == rs[v]
+            first = rs[u, np.argmax(same, axis=1)] == at[0]  # a pair of several regions comes from the first alone
+            ab = [(sids[i], sids[j]) if sids[i] < sids[j] else (sids[j], sids[i]) for i, j in zip(u[first].tolist(), v[first].tolist(), strict=True)]
+            if ab:
+                a, b = zip(*ab, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(e[first], pa.float32())], ["a", "b", "est"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, group = None, []
+        for batch in batches:
+            for region, p, q, *row in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                if (region, p, q) != here:
+                    if len(group) > 1:
+                        yield from pairs_of(here, group)
+                    here, group = (region, p, q), []
+                group.append(tuple(row))
+        if len(group) > 1:
+            yield from pairs_of(here, group)
+
+    return rows.mapInArrow(common.trimmed(run), "a binary, b binary, est float")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``v, c`` for each vertex of the edges ``a, b``: the smallest vertex of its component.
 
@@ -252,6 +330,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` with 100 * intersection >= percent * union on the full sets of their ``texts`` (sid, text)."""
     common.arrow_limits(pairs.sparkSession)
+    if pairs.count() > max(DENSE * texts.count(), 1000):
+        return _confirm_blocks(pairs, texts, k, percent)
     first, second = (texts.select(F.col("sid").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
     if pairs.count() <= BROADCAST_PAIRS:
         # texts are big and pairs short: only texts of these pairs are shuffled, once as either side
@@ -278,6 +358,26 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return with_both.select("a", "b", "ta", "tb").mapInArrow(common.trimmed(run), "a binary, b binary")
 
 
+def _confirm_blocks(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """``confirm`` for many pairs of few texts: texts are dealt into blocks, and each is sent once for a pair of blocks."""
+    blocks = F.lit(max(1, texts.count() // TEXTS))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), blocks).alias("i"), F.pmod(F.xxhash64("b"), blocks).alias("j"))
+    need = dealt.select(F.col("a").alias("sid"), "i", "j").unionByName(dealt.select(F.col("b").alias("sid"), "i", "j")).distinct()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets = {sid: shingles(t, k) for sid, t in zip(right.column("sid").to_pylist(), right.column("text").to_pylist(), strict=True)}
+        ok_a, ok_b = [], []
+        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True):
+            x, y = sets[a], sets[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                ok_a.append(a)
+                ok_b.append(b)
+        return pa.table({"a": pa.array(ok_a, pa.binary()), "b": pa.array(ok_b, pa.binary())})
+
+    return dealt.groupBy("i", "j").cogroup(need.join(texts, "sid").groupBy("i", "j")).applyInArrow(run, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_shingles, component_id, kept`` of each row of ``docs``; ``kept`` marks the smallest id of its component."""
     return _label(docs, k, percent, id_col, text_col).drop("sid")
@@ -287,12 +387,18 @@ def _label(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     spark = docs.sparkSession
     signed = common.materialise(sign(docs, k, id_col, text_col), "minhash-signed")
     some = signed.where("sid is not null")
-    classes = common.materialise(some.groupBy("sid").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "minhash-classes")
+    classes = common.materialise(some.groupBy("sid").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n")), "minhash-classes")
     pairs = common.materialise(forest(classes, percent / 100).groupBy("a", "b").agg(F.max("est").alias("est")), "minhash-pairs")
-    ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    named = common.materialise(ends.join(classes.select("sid", "rep"), "sid"), "minhash-named")
-    texts = common.materialise(_texts(docs, named, k, id_col, text_col), "minhash-texts")
-    comp = _link(pairs, texts, k, percent).join(classes.select(F.col("sid").alias("v"), "rep"), "v")
+    texts = _texts_of(pairs, classes, None, docs, k, id_col, text_col)
+    comp, found, tested = _link(pairs, texts, k, percent)
+    more = crossing(classes, comp, percent)
+    for t in tested:
+        more = more.join(t, ["a", "b"], "left_anti")
+    more = common.materialise(more, "minhash-more")
+    if not more.isEmpty():
+        texts = texts.unionByName(_texts_of(more, classes, texts, docs, k, id_col, text_col))
+        comp, _, _ = _link(more, texts, k, percent, found, 16)
+    comp = comp.join(classes.select(F.col("sid").alias("v"), "rep"), "v")
     smallest = comp.groupBy("c").agg(F.min("rep").alias("component_id"))
     linked = comp.join(smallest, "c").select(F.col("v").alias("sid"), "component_id")
     label = classes.select("sid", "rep").join(linked, "sid", "left").select("sid", F.coalesce("component_id", "rep").alias("component_id"))
@@ -323,9 +429,18 @@ def _texts(docs: DataFrame, named: DataFrame, k: int, id_col: str, text_col: str
     return by_id.unionByName(nameless).groupBy("sid").agg(F.min("text").alias("text"))
 
 
-def _link(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """``v, c``: components of the confirmed candidates; those of one class alone are left out."""
-    left, found, most, old = pairs, None, 1, []
+def _texts_of(pairs: DataFrame, classes: DataFrame, have: DataFrame | None, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """``_texts`` of the classes of ``pairs`` that ``have`` lacks."""
+    ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    ends = ends if have is None else ends.join(have.select("sid"), "sid", "left_anti")
+    named = common.materialise(ends.join(classes.select("sid", "rep"), "sid"), "minhash-named")
+    return common.materialise(_texts(docs, named, k, id_col, text_col), "minhash-texts")
+
+
+def _link(pairs: DataFrame, texts: DataFrame, k: int, percent: int, found: DataFrame | None = None, most: int = 1) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """``v, c``: components of the confirmed candidates and of those ``found`` before; those of one class alone are left
+    out. Also all confirmed pairs, and the tables of the tested ones."""
+    left, old, tested, first = pairs, [], [], most
     comp = pairs.select(F.col("a").alias("v"), F.col("b").alias("c")).where("false")
     while True:
         if found is None:
@@ -342,14 +457,15 @@ def _link(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame
         common.discard(*old)
         common.free_shuffles(pairs.sparkSession)
         if open_pairs.isEmpty():
-            return comp
+            return comp, found, tested
         ends = open_pairs.select("a", "b", "est", F.explode(F.array("ca", "cb")).alias("c"))
         best = ends.selectExpr("a", "b", "row_number() over (partition by c order by est desc, a, b) as n").where(F.col("n") <= most)
         chosen = common.materialise(best.select("a", "b").distinct(), "minhash-chosen")
         new = common.materialise(confirm(chosen, texts, k, percent), "minhash-new")
         found = new if found is None else found.unionByName(new)
         left = open_pairs.select("a", "b", "est").join(chosen, ["a", "b"], "left_anti")
-        old = [open_pairs, chosen, comp] if most > 1 else [open_pairs, chosen]
+        tested.append(chosen)
+        old = [open_pairs, comp] if most > first else [open_pairs]
         most *= 16
 
 

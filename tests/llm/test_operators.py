@@ -154,6 +154,32 @@ def test_near_duplicates_in_a_crowd(spark):
     assert {r["component_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
 
 
+def changed(words, at, tag):
+    return [f"{tag}_{i}" if i in at else w for i, w in enumerate(words)]
+
+
+def test_completion_sees_links_between_close_clusters():
+    """Two clusters of close variants whose cross similarities are just below the threshold, but for one pair."""
+    spots, lost = range(10, 990, 35), 0
+    for g in range(8):
+        a = [f"g{g}w{i}" for i in range(1000)]
+        b = changed(a, set(spots), "b")
+        texts = [changed(a, {spots[0]}, "b") if v == 7 else changed(a, {spots[v]}, f"v{v}") for v in range(16)]
+        texts += [b if v == 3 else changed(b, {spots[0], spots[v + 1]}, f"x{v}") for v in range(16)]
+        sets = [minhash.shingles(" ".join(t), 4) for t in texts]
+        both = len(np.intersect1d(sets[7], sets[19]))
+        assert 100 * both >= 80 * (len(sets[7]) + len(sets[19]) - both)
+        x = np.frombuffer(b"".join(minhash.pack(minhash.signature(s))[1] for s in sets), np.uint64).reshape(32, -1)
+        lost += (7, 19) not in minhash._block_pairs(minhash._compare(x), 0.61, 0.9)
+        comp, n = np.arange(32) // 16, np.array([len(s) for s in sets])
+        for side in (np.zeros(32, bool), np.arange(32) % 2 == 1):
+            got = [tuple(sorted(p)) for u, v, _ in minhash._cross_pairs(x, n, comp, side, 0.61, 80) for p in zip(u.tolist(), v.tolist())]
+            est = minhash._compare(x)
+            want = {(i, j) for i in range(32) for j in range(i) if comp[i] != comp[j] and est[i, j] >= 0.61 and (not side.any() or side[i] != side[j])}
+            assert len(got) == len(set(got)) and {(j, i) for i, j in got} == want
+    assert lost  # the first candidates alone don't hold every link
+
+
 def test_near_duplicates_edges(spark):
     text = " ".join(f"v{i}" for i in range(50))
     rows = [(None, text), (4, text), (4, text), (6, text + " x"), (None, "alone " * 9), (None, None)]
