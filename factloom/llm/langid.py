@@ -2,7 +2,9 @@
 
 Byte n-grams (1 to 3) of the lower-cased letters are hashed, weighted by TF-IDF and normalised; spherical k-means
 gives each language several centroids; a text gets the language of the centroid with the largest cosine. A text that
-is far from every centroid (cosine below ``reject_below``) is rejected, as is one that has no letter.
+is far from every centroid (cosine below ``reject_below``) is rejected, as is one that has no letter. Unless given,
+``reject_below`` is half the cosine that all but one in a thousand of the training rows reach with their own language,
+0.2 at most.
 
 The model is fitted on a bounded sample of labelled rows (``per_lang`` a language, the rows with the smallest id
 hashes); prediction reads whole texts and nothing else. The model's size is fixed by ``DIM``, ``k`` and
@@ -76,7 +78,7 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600, k: int = 4, reject_below: float = 0.03) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600, k: int = 4, reject_below: float | None = None) -> Model:
     """Fit on at most ``per_lang`` rows of each language, chosen by the hash of their id."""
     spark = labelled.sparkSession
     common.arrow_limits(spark)
@@ -85,7 +87,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     if len(counts) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
     if not counts:
-        return Model([], np.zeros(DIM, np.float32), np.zeros((DIM, 0), np.float32), reject_below)
+        return Model([], np.zeros(DIM, np.float32), np.zeros((DIM, 0), np.float32), reject_below or 0.0)
     scale = 1 << 30
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(scale * min(1.0, 1.25 * (per_lang + 20) / n)))])
     sample = src.withColumn("h", F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(scale))).where(F.col("h") < share[F.col("lang")])
@@ -113,7 +115,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             df[at] += 1
     total = sum(map(len, by.values()))
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
-    langs, cents = [], []
+    langs, cents, near = [], [], []
     for lang, x in by.items():
         dense = np.zeros((len(x), DIM), np.float32)
         for i, (at, n) in enumerate(x):
@@ -122,6 +124,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         c = _cluster(dense, k)
         langs += [lang] * len(c)
         cents.append(c)
+        near.append((dense @ c.T).max(1))
+    if reject_below is None:
+        reject_below = min(0.2, 0.5 * float(np.quantile(np.concatenate(near), 0.001))) if near else 0.0
     return Model(langs, idf, np.ascontiguousarray(np.concatenate(cents).T) if cents else np.zeros((DIM, 0), np.float32), reject_below)
 
 

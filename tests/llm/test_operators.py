@@ -239,6 +239,21 @@ def test_language_held_out_accuracy(spark):
     assert langid.fit(docs.where(~langid.held_out())).langs == model.langs
 
 
+def test_language_rejects_what_it_has_not_learned(spark):
+    docs = table(spark, "documents", "/root/testdata/sf0.01")
+    model = langid.fit(docs.where(~langid.held_out()))
+    rnd = random.Random(1)
+    noise = [" ".join("".join(rnd.choice(al) for _ in range(rnd.randint(3, 9))) for _ in range(n)) for al in ("abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz") for n in (20, 100, 400)]
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem"
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto"
+    assert all(model.predict(t)[2] for t in [*noise, polish, finnish])
+    clean = [r["text"] for r in docs.where(langid.held_out()).collect()]
+    assert not any(model.predict(t)[2] for t in clean)
+    short = [model.predict(" ".join(t.split()[:3]))[2] for t in clean]
+    assert np.mean(short) < 0.01
+    assert langid.fit(docs, reject_below=0.03).reject_below == 0.03
+
+
 def test_language_edges(spark, odd):
     model = langid.fit(table(spark, "documents"))
     got = {r["text"]: r["p"] for r in odd.select("text", langid.predict(odd, model).alias("p")).collect()}
