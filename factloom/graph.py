@@ -11,6 +11,10 @@ from . import schema
 from .session import materialise
 
 
+#: Nodes up to which their keys and ids (some 120 bytes a row) are broadcast; more are joined in a shuffle.
+BROADCAST_NODES = 400_000
+
+
 class GraphError(ValueError):
     """A fact set or overlay breaks a rule; ``code`` names it."""
 
@@ -63,16 +67,16 @@ class Graph:
 
 
 def dense_ids(df: DataFrame, key: str, id_col: str = "node_id") -> DataFrame:
-    """Adds the rank of ``key`` from 0. Keys are dealt by range and numbered in each range; only the ranges' counts
-    meet in one place."""
-    dealt = df.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
-    dealt = materialise(dealt, "dense")
+    """Adds the rank of ``key`` from 0. Keys are dealt by range, sorted and numbered in each range while they are
+    written; only the ranges' counts meet in one place."""
+    dealt = df.repartitionByRange(key).sortWithinPartitions(key)
+    # the low 33 bits count the rows of a partition
+    dealt = materialise(dealt.withColumns({"_part": F.spark_partition_id(), "_n": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "dense")
     counts = dealt.groupBy("_part").count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    ranked = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
     # one short row a partition
-    return ranked.join(F.broadcast(offsets), "_part").withColumn(id_col, (F.col("_offset") + F.col("_n") - 1).cast("int")).drop("_part", "_n", "_offset")
+    return dealt.join(F.broadcast(offsets), "_part").withColumn(id_col, (F.col("_offset") + F.col("_n")).cast("int")).drop("_part", "_n", "_offset")
 
 
 def check_facts(facts: FactSet) -> None:
@@ -97,12 +101,16 @@ def compile_graph(facts: FactSet, check: bool = True) -> Graph:
         F.col("id").alias("key"), F.when(F.col("kind").isin(*schema.NODE_KINDS), F.col("kind")).otherwise("symbol").alias("kind"),
         "path", "name", "qualified_name", "content_id",
     ).distinct()
-    nodes = dense_ids(n, "key").select("node_id", "key", "kind", "path", "name", "qualified_name", "content_id")
+    # written once, since all that follows joins these ids
+    nodes = materialise(dense_ids(n, "key").select("node_id", "key", "kind", "path", "name", "qualified_name", "content_id"), "nodes")
     ids = nodes.select("key", "node_id")
-    e = facts.edges.where(F.col("relation").isin(*schema.RELATIONS)).select("source", "target", "relation").distinct()
+    ids = F.broadcast(ids) if nodes.count() <= BROADCAST_NODES else ids
+    e = facts.edges.where(F.col("relation").isin(*schema.RELATIONS)).select("source", "target", "relation")
     e = e.join(ids.select(F.col("key").alias("source"), F.col("node_id").alias("src")), "source")
     e = e.join(ids.select(F.col("key").alias("target"), F.col("node_id").alias("dst")), "target")
-    edges = e.select("src", "dst", "relation", coded(F.col("relation"), schema.RELATION_CODE).cast("short").alias("code"))
+    # duplicates go after the join: numbers are shuffled instead of keys
+    edges = e.select("src", "dst", coded(F.col("relation"), schema.RELATION_CODE).cast("short").alias("code")).distinct()
+    edges = edges.select("src", "dst", coded(F.col("code"), {c: r for r, c in schema.RELATION_CODE.items()}).alias("relation"), "code")
     u = facts.unresolved.join(ids.select(F.col("key").alias("source"), F.col("node_id").alias("source_node_id")), "source")
     unresolved = u.select("source_node_id", "relation", "expression", "candidate_namespace", "candidate_name", "reason").distinct()
     return Graph(nodes, edges, unresolved)
@@ -146,8 +154,13 @@ def key_changes(old: DataFrame, new: DataFrame, key: str = "key") -> tuple[DataF
 
 
 def checksum(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row ``node_count, edge_count, digest``: equal for equal graphs, in any order and partitioning."""
-    e = edges.agg(F.count("*").alias("edge_count"), F.coalesce(F.bit_xor(F.xxhash64("src", "dst", "relation")), F.lit(0)).alias("x"), F.coalesce(F.bit_xor(F.xxhash64("relation", "dst", "src")), F.lit(0)).alias("y"))
+    """One row ``node_count, edge_count, digest``: equal for equal graphs, in any order and partitioning.
+
+    The digest is over both counts and over the combined first and second halves of the edges' MD5 sums.
+    """
+    half = lambda at: F.conv(F.substring(F.md5(F.concat_ws(":", "src", "dst", "relation").cast("binary")), at, 15), 16, 10).cast("long")
+    mixed = [F.coalesce(F.bit_xor(half(at)), F.lit(0)).alias(name) for at, name in ((1, "x"), (17, "y"))]
+    e = edges.agg(F.count("*").alias("edge_count"), *mixed)
     return nodes.agg(F.count("*").alias("node_count")).crossJoin(e).select("node_count", "edge_count", F.sha2(F.concat_ws(":", "node_count", "edge_count", "x", "y"), 256).alias("digest"))
 
 

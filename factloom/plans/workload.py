@@ -81,7 +81,7 @@ def facts(spark: SparkSession, sf_dir: str, version: int = 1) -> FactSet:
         all_n = all_n.unionByName(x)
     for x in e[1:]:
         all_e = all_e.unionByName(x)
-    return FactSet(all_n, all_e.distinct(), u)
+    return FactSet(all_n, all_e, u)
 
 
 _GRAPHS: dict[tuple, Graph] = {}
@@ -92,13 +92,16 @@ def graph(spark: SparkSession, sf_dir: str, version: int = 1) -> Graph:
     at = (spark.sparkContext.applicationId, sf_dir, version)
     if at not in _GRAPHS:
         g = compile_graph(facts(spark, sf_dir, version), check=False)
-        nodes = materialise(g.nodes, "nodes")
-        _GRAPHS[at] = Graph(nodes, materialise(compile_edges(g), "edges"), materialise(g.unresolved, "unresolved"))
+        _GRAPHS[at] = Graph(g.nodes, materialise(clustered(g), "edges"), materialise(g.unresolved, "unresolved"))
     return _GRAPHS[at]
 
 
-def compile_edges(g: Graph) -> DataFrame:
-    return g.edges.repartitionByRange("src").sortWithinPartitions("src", "dst", "code")
+def clustered(g: Graph, edges_a_part: int = 4_000_000) -> DataFrame:
+    """The edges dealt by ranges of the source and sorted. Ids are dense, so equal ranges need no sample of the edges."""
+    n = max(g.nodes.count(), 1)
+    parts = max(g.edges.sparkSession.sparkContext.defaultParallelism, -(-n // edges_a_part))
+    part = (F.col("src").cast("long") * parts / n).cast("int")
+    return g.edges.repartitionById(parts, part).sortWithinPartitions("src", "dst", "code")
 
 
 def sql(body: str, version: int = 1) -> str:
