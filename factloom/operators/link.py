@@ -90,7 +90,7 @@ def callable_by_name(wanted: DataFrame, callables: DataFrame) -> DataFrame:
 def constants(lines: DataFrame) -> DataFrame:
     """``name, value`` of constants with exactly one string value in all files."""
     value = rf"\s*{Q}({INNER}){Q}"
-    p = (rf"^\s*(?:(?:export|pub|pub\([\w ]+\))\s+)?const\s+({NAME})[^=]*={value}", rf"^\s*([A-Z][A-Z\d_]*)\s*={value}")
+    p = (rf"^\s*(?:(?:export|pub(?:\([^)]*\))?)\s+)?const\s+({NAME})[^=]*={value}", rf"^\s*([A-Z][A-Z\d_]*)\s*={value}")
     hit = F.coalesce(*[F.when(F.regexp_extract("line", x, 2) != "", F.struct(F.regexp_extract("line", x, 1).alias("name"), F.regexp_extract("line", x, 2).alias("value"))) for x in p])
     found = lines.select(hit.alias("x")).where("x is not null").select("x.*")
     return found.groupBy("name").agg(F.min("value").alias("value"), F.max("value").alias("_max")).where("value = _max").drop("_max")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..session import materialise
 
 
 def node_kinds(g: Graph) -> DataFrame:
@@ -57,16 +58,18 @@ def terms(text: Column) -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``query_id, doc_id, score, rank``; ``docs(doc_id, text)``, ``queries(query_id, text)``.
 
-    Queries are few and their terms are joined before any counting, so only postings of asked terms are shuffled.
+    Documents are read and cut once. Their words meet the asked terms before any counting, so only postings of asked
+    terms are shuffled; the empty term, which every document has once, carries its length to the corpus statistics.
     Scores are rounded to 9 places, so that equal documents tie by id.
     """
+    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    wanted = asked.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
     # the list is made once a document; else its length would be computed anew for each of its terms
     listed = docs.select("doc_id", terms(F.col("text")).alias("words")).select("doc_id", "words", F.size("words").alias("len"))
-    corpus = listed.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    vocabulary = asked.select("term").distinct()
-    tokens = listed.select("doc_id", "len", F.explode("words").alias("term"))
-    tf = tokens.join(vocabulary, "term", "left_semi").groupBy("doc_id", "term", "len").agg(F.count("*").alias("tf"))
+    tokens = listed.select("doc_id", "len", F.explode(F.concat("words", F.array(F.lit("")))).alias("term"))
+    tf = materialise(tokens.join(wanted, "term", "left_semi").groupBy("doc_id", "term", "len").agg(F.count("*").alias("tf")), "postings")
+    corpus = tf.where("term = ''").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    tf = tf.where("term != ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     scored = asked.join(df, "term").join(tf, "term").crossJoin(corpus)
     idf = F.log1p((0.5 + F.col("n") - F.col("df")) / (0.5 + F.col("df")))

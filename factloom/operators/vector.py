@@ -22,15 +22,16 @@ def dot(vector: Column, query: list[float]) -> Column:
 
 
 def search(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding", places: int = 6) -> DataFrame:
-    """The ``k`` rows with the largest inner product (rounded), ties by id. Each partition keeps ``k`` rows."""
+    """The ``k`` rows with the largest inner product in double precision, ties by id; the score is shown rounded. Each
+    partition keeps ``k`` rows."""
     if not query or k <= 0:
         raise GraphError("query_failed", "the query is empty or the limit is 0")
     if not all(map(math.isfinite, query)):
         raise GraphError("query_failed", "the query has a component that is not finite")
     if not vectors.where(F.size(vec_col) != len(query)).isEmpty():
         raise GraphError("query_failed", "the query has another dimension than the index")
-    score = F.round(dot(F.col(vec_col), query), places)
-    return vectors.select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    best = vectors.select(id_col, dot(F.col(vec_col), query).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    return best.select(id_col, F.round("score", places).alias("score"))
 
 
 def eligible(nodes: DataFrame) -> DataFrame:
