@@ -136,3 +136,35 @@ def workload(g_nodes: int, kind: str, n: int, seed: int = 0, hot: list[int] = ()
     if kind == "hot":
         return [hot[i % len(hot)] for i in range(n)]
     return np.random.default_rng(seed).integers(0, g_nodes, n).tolist()
+
+
+SELECTIONS = ("single-node", "local-range", "scattered", "hub", "percentage")
+
+
+def answers(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """``workload, direction, rows, fingerprint``: what all one-hop questions of the workloads (``workload, node``)
+    answer together; the fingerprint depends on every row, not on their order."""
+    parts = []
+    for direction, own, other in (("outgoing", "src", "dst"), ("incoming", "dst", "src")):
+        hops = asked.join(edges.select(F.col(own).alias("node"), F.col(other).alias("other"), "code"), "node")
+        parts.append(hops.select("workload", F.lit(direction).alias("direction"), F.xxhash64("node", "other", "code").alias("h"), F.xxhash64("code", "other", "node").alias("k")))
+    each = parts[0].unionByName(parts[1]).groupBy("workload", "direction")
+    return each.agg(F.count("*").alias("rows"), F.concat_ws(":", F.bit_xor("h"), F.sum(F.col("k").cast("decimal(38,0)"))).alias("fingerprint"))
+
+
+def compare_overlay(nodes: DataFrame, base: DataFrame, mutations: dict[str, tuple[DataFrame, DataFrame]], asked: DataFrame, folder: str) -> DataFrame:
+    """For each mutation ``(added, removed)`` of ``base(src, dst, relation, code)``: whether the overlay view and the
+    graph rebuilt from it (written below ``folder`` and read again) answer every workload alike.
+
+    ``mutation, workload, direction, rows, rebuilt_rows, same``.
+    """
+    from .graph import apply_overlay, compact
+
+    out = None
+    for name, (added, removed) in mutations.items():
+        rebuilt = answers(compact(nodes, base, added, removed, f"{folder}/{name}"), asked)
+        view = answers(apply_overlay(base, added, removed), asked)
+        both = view.join(rebuilt.select("workload", "direction", F.col("rows").alias("rebuilt_rows"), F.col("fingerprint").alias("_f")), ["workload", "direction"], "full")
+        both = both.select(F.lit(name).alias("mutation"), "workload", "direction", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("rebuilt_rows", F.lit(0)).alias("rebuilt_rows"), F.coalesce(F.col("fingerprint") == F.col("_f"), F.lit(False)).alias("same"))
+        out = both if out is None else out.unionByName(both)
+    return out
