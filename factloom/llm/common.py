@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,27 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
+def fixed_width(column: pa.Array, kind: type) -> np.ndarray:
+    """Rows of a binary column without nulls, all of one length, as a matrix over its buffer."""
+    n = len(column)
+    at = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32, n + 1, column.offset * (8 if pa.types.is_large_binary(column.type) else 4))
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind).reshape(n, -1) if n else np.zeros((0, 0), kind)
+
+
+_resident: list[tuple] = []
+
+
+def resident(key: tuple, make: Callable[[], object]) -> object:
+    """The one large object that this Python worker keeps between tasks; asking for another key frees the one before.
+
+    Workers outlive operators, so tables kept in modules would pile up over the stages of a pipeline.
+    """
+    if not _resident or _resident[0][0] != key:
+        _resident.clear()
+        _resident.append((key, make()))
+    return _resident[0][1]
+
+
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A batch function that gives freed memory back to the system when a partition ends; idle workers stay small."""
 
