@@ -2,18 +2,22 @@
 
 Categories are predicted in order. Model k sees the words of the text and the log-odds of categories 1 to k-1; while
 training, those log-odds come from models that never saw the row (out-of-fold), so later models learn from the same
-kind of input that they get when predicting. Words are chosen per category by a G-test over the labelled sample.
+kind of input that they get when predicting. The vocabulary has every word whose presence depends on a category by a
+G-test at the level ``LEAST_G``, over the whole sample; there is no cap on their number.
 
-The sample is bounded (``most_labelled`` rows, those with the smallest id hashes); prediction reads whole texts.
-The vocabulary is bounded (``vocabulary`` words a category), and so is the broadcast model.
+The sample is bounded (``most_labelled`` rows, those with the smallest id hashes), and so are the vocabulary found in
+it and the broadcast model; prediction reads whole texts.
 
-Edge cases: null and empty texts have no words and get the base rates; a document with several label rows counts as
-positive if any row says so; null labels are skipped; without any labelled row all probabilities are 0; repeated
-rows get equal results; other columns are not read.
+Edge cases: null and empty texts have no words and get the base rates; very long texts are read whole, each distinct
+word counting once; a document with several label rows counts as positive if any row says so; null labels and null ids
+are skipped; a repeated id gives one training row for each row of documents; words that tie in the G-test are ordered by
+their bytes, which changes no prediction; without any labelled row all probabilities are 0; repeated rows get equal
+results; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,6 +34,8 @@ from .decontam import words
 #: Categories in chain order, each a SQL condition over the columns of ``labels``.
 CHAIN = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 FOLDS = 5
+#: Least value of the G statistic of a chosen word; of words that don't matter, one in a thousand reaches it.
+LEAST_G = 10.83
 
 
 @dataclass
@@ -91,7 +97,7 @@ def fit_chain(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, fold: np.n
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = 20_000, vocabulary: int = 256, least_df: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = 20_000, least_g: float = LEAST_G) -> Model:
     """Fit on at most about ``most_labelled`` labelled documents, chosen by the hash of their id."""
     spark = docs.sparkSession
     common.arrow_limits(spark)
@@ -115,8 +121,9 @@ def fit(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, id_co
     n, *pos = held.agg(F.count("*"), *[F.coalesce(F.sum(y), F.lit(0)) for y in ys]).first()
     if not n:
         return Model(names)
-    by_word = held.select(F.explode("words").alias("w"), *ys).groupBy("w").agg(F.count("*").alias("df"), *[F.sum(y).alias(y) for y in ys]).where(F.col("df") >= least_df)
+    by_word = held.select(F.explode("words").alias("w"), *ys).groupBy("w").agg(F.count("*").alias("df"), *[F.sum(y).alias(y) for y in ys])
     vocab: dict[bytes, int] = {}
+    tests: list[Column] = []
     for y, p in zip(ys, pos, strict=True):
 
         def part(seen: Column, expected: Column) -> Column:
@@ -124,9 +131,11 @@ def fit(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, id_co
 
         a, df = F.col(y).cast("double"), F.col("df").cast("double")
         cells = [(a, df * p / n), (df - a, df * (n - p) / n), (p - a, (n - df) * p / n), (n - p - df + a, (n - df) * (n - p) / n)]
-        best = by_word.withColumn("g", sum((part(s, F.greatest(e, F.lit(1e-9))) for s, e in cells), F.lit(0.0)))
-        for r in best.orderBy(F.desc("g"), "w").limit(vocabulary).collect():
-            vocab.setdefault(bytes(r["w"]), len(vocab))
+        g = 2 * sum((part(s, F.greatest(e, F.lit(1e-9))) for s, e in cells), F.lit(0.0))
+        tests.append(F.round(g, 9) >= least_g)
+    # as many as the bounded sample has words that matter
+    for w in sorted(bytes(r["w"]) for r in by_word.where(functools.reduce(Column.__or__, tests)).select("w").collect()):
+        vocab[w] = len(vocab)
     if not vocab:
         vocab[b""] = 0
     words_held = spark.sparkContext.broadcast(vocab)
