@@ -10,9 +10,10 @@ The model is fitted on a bounded sample of labelled rows (``per_lang`` a languag
 hashes); prediction reads whole texts and nothing else. The model's size is fixed by ``DIM``, ``k`` and
 ``MOST_LANGS``, so broadcasting it is bounded.
 
-Edge cases: null text or text without a letter gives ``und``, score 0 and a rejection; rows with a null id or null
-label are predicted but never learned from; an empty training set gives ``und`` for all; repeated rows get equal
-results; other columns are not read.
+Edge cases: null text or text without a letter gives ``und``, score 0 and a rejection; very long texts are read whole;
+of centroids at the same distance the first counts, in the order of languages; rows with a null id or null label are
+predicted but never learned from; an empty training set gives ``und`` for all; repeated rows get equal results; an
+empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -100,14 +101,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                     x, y = grams(t)
                     keep.append(i)
                     at.append(x.astype(np.uint16).tobytes())
-                    n.append(np.minimum(y, 65535).astype(np.uint16).tobytes())
+                    n.append(y.astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(j).take(pa.array(keep, pa.int64())) for j in (0, 2, 3)] + [pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["id", "lang", "h", "at", "n"])
 
     kind = src.schema["id"].dataType.simpleString()
     rows = sample.select("id", "text", "lang", "h").mapInArrow(common.trimmed(run), f"id {kind}, lang string, h bigint, at binary, n binary").collect()
     by: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"], str(r["id"]))):
-        by.setdefault(r["lang"], []).append((np.frombuffer(bytes(r["at"]), np.uint16), np.frombuffer(bytes(r["n"]), np.uint16)))
+        by.setdefault(r["lang"], []).append((np.frombuffer(bytes(r["at"]), np.uint16), np.frombuffer(bytes(r["n"]), np.uint32)))
     by = {lang: x[:per_lang] for lang, x in by.items()}
     df = np.zeros(DIM)
     for x in by.values():
