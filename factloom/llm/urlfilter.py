@@ -2,14 +2,16 @@
 
 A rule is a host (with all its subdomains) and a path prefix. Its literal tokens are the host's labels and the path's
 complete segments; it is indexed under the one that the fewest URLs contain (counted over all URLs). The tokens of a
-URL fetch candidate rules, and only those run their regular expressions on it. The longest fitting rule wins; among
-rules of the same length a block wins.
+URL fetch candidate rules, and only those run their regular expressions on it. A rule without a literal token (no host,
+no whole path segment) is a candidate for every URL that has a host or a path. The longest fitting rule wins; among
+rules of the same length a block wins, then the first in order of text.
 
 Up to ``MOST_RULES`` rules the index is broadcast (its size is checked). Beyond that the same index is joined by token
-over the distinct URLs.
+over the distinct URLs, each token dealt into ``SALTS`` keys, so that a frequent one isn't one task.
 
-Edge cases: a null URL or one without ``://`` has an empty host and path and fits no rule; repeated URLs get equal
-results; an empty rule set gives the default verdict; other columns are not read.
+Edge cases: a null URL or one without ``://`` has an empty host and path and fits no rule; URLs of any length are read
+whole; repeated URLs and rows get equal results; a rule without host fits every host; an empty rule set gives the
+default verdict; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MOST_RULES = 200_000
+MOST_RULES, SALTS = 200_000, 32
+#: The token of rules that have none, which every URL with a host or a path has.
+ANY = "*"
 _TOKEN = re.compile(r"[^./]+")
 
 
@@ -47,7 +51,8 @@ class Rule:
     @property
     def regex(self) -> str:
         """Over host and path joined by a null character."""
-        return rf"(?s)\A(?:.*\.)?{re.escape(self.host)}\x00{re.escape(self.path)}"
+        host = rf"(?:.*\.)?{re.escape(self.host)}" if self.host else "[^\\x00]*"
+        return rf"(?s)\A{host}\x00{re.escape(self.path)}"
 
     @property
     def tokens(self) -> list[str]:
@@ -64,7 +69,7 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 
 def _url_tokens(host: str, path: str) -> set[str]:
-    return {f"h:{t}" for t in _TOKEN.findall(host)} | {f"p:{t}" for t in path.split("/") if t}
+    return {ANY} | {f"h:{t}" for t in _TOKEN.findall(host)} | {f"p:{t}" for t in path.split("/") if t}
 
 
 def _tokens(host: Column, path: Column) -> Column:
@@ -74,18 +79,17 @@ def _tokens(host: Column, path: Column) -> Column:
 
 
 def build_index(urls: DataFrame, rules: list[Rule]) -> dict[str, list[Rule]]:
-    """Rules by their rarest token; ``urls`` has columns host and path. Ties go to the later token in order."""
+    """Rules by their rarest token; ``urls`` has columns host and path. Ties go to the earlier token in order."""
     spark = urls.sparkSession
     wanted = sorted({t for r in rules for t in r.tokens})
     if not wanted:
-        return {}
+        return {ANY: list(rules)} if rules else {}
     known = F.broadcast(spark.createDataFrame([(t,) for t in wanted], "token string"))
     seen = urls.select(F.explode(_tokens(F.col("host"), F.col("path"))).alias("token")).join(known, "token").groupBy("token").count()
     counts = {r["token"]: r["count"] for r in seen.collect()}  # as many as the rules have tokens
     index: dict[str, list[Rule]] = {}
     for r in rules:
-        if r.tokens:
-            index.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(r)
+        index.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t), default=ANY), []).append(r)
     return index
 
 
@@ -130,8 +134,10 @@ def _judge_by_join(src: DataFrame, index: dict[str, list[Rule]], id_col: str, de
     spark = src.sparkSession
     rows = [(t, r.regex, r.text, r.action, len(r.text), int(r.action == "block")) for t, rs in index.items() for r in rs]
     table = spark.createDataFrame(rows, "token string, regex string, rule string, action string, n int, block int")
-    urls = src.select("host", "path").distinct()
-    met = urls.select("host", "path", F.explode(_tokens(F.col("host"), F.col("path"))).alias("token")).join(table, "token")
+    table = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    urls = src.select("host", "path").where("host != '' or path != ''").distinct()
+    tokens = F.explode(F.concat(F.array(F.lit(ANY)), _tokens(F.col("host"), F.col("path"))))
+    met = urls.select("host", "path", tokens.alias("token"), F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int").alias("salt")).join(table, ["token", "salt"])
     fits = met.where(F.expr(r"regexp_like(concat(host, char(0), path), regex)"))
-    best = fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "action"), F.struct("n", "block", F.col("rule"))).alias("b"))
+    best = fits.groupBy("host", "path").agg(F.min_by(F.struct("rule", "action"), F.struct(-F.col("n"), -F.col("block"), F.col("rule"))).alias("b"))
     return src.join(best, ["host", "path"], "left").select(F.col("id").alias(id_col), "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.action", F.lit(default)).alias("verdict"))
