@@ -6,11 +6,13 @@ deals all runs by ranges of that order and merges the slices of the runs in each
 the parts, one after the other, hold the globally ordered capture histories.
 
 Of records with equal payloads of at least ``revisit_bytes`` bytes the one with the smallest id is the response, and
-the others are revisits that refer to it and store no payload; smaller payloads are stored each time.
+the others are revisits that refer to it by record id, URI and date and store no payload; smaller payloads are stored
+each time. Payloads are not shuffled while the table of repeated ones has at most ``MOST_SHARED`` rows.
 
-Edge cases: a null payload is empty; a null URL becomes the empty URI, with the empty URL key; null ids lose to all
-others and are written as ``null``; equal payloads with equal ids stay responses alike; an empty table gives no
-captures; other columns are not read.
+Edge cases: a null payload is empty; payloads of any length are stored whole; a null URL becomes the empty URI, with
+the empty URL key; a null time is the crawl's; captures of one URL key go by time, then id (null first), file and
+offset; null ids lose to all others and are written as ``None``; equal payloads with equal ids stay responses alike; an
+empty table gives no captures; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from . import common
 
 REVISIT_BYTES = 100
+#: Repeated payloads up to which their table (some 300 bytes a row) is broadcast; a larger one is joined in a shuffle.
+MOST_SHARED = 200_000
 #: Captures merged in one range, so in one task's memory.
 RANGE_ROWS = 100_000
 LINE = "url_key string, ts string, page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, file string, offset bigint, length bigint"
@@ -46,12 +50,21 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (rest[cut:].lower() or "/") if rest else ""
 
 
-def _record(kind: str, url: str, ts: str, page_id: int | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
+def _record_id(page_id: int | None, url: str, ts: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {ts}')}>"
+
+
+def _uri(url: str) -> str:
+    return quote(url, safe=":/?#[]@!$&()*+,;=%~")
+
+
+def _record(kind: str, url: str, ts: str, page_id: int | None, payload: bytes, digest: str, size: int, first: dict | None) -> bytes:
+    """One record; ``first`` (id, url, ts) is the response that a revisit refers to."""
     body = b"" if kind == "revisit" else payload
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}", f"WARC-Date: {ts}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {ts}')}>", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}", f"X-Page-Id: {page_id}", f"X-Url: {quote(url, safe='')}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Target-URI: {_uri(url)}", f"WARC-Date: {ts}", f"WARC-Record-ID: {_record_id(page_id, url, ts)}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}", f"X-Page-Id: {page_id}", f"X-Url: {quote(url, safe='')}"]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(first['id'], first['url'], first['ts'])}", f"WARC-Refers-To-Target-URI: {_uri(first['url'])}", f"WARC-Refers-To-Date: {first['ts']}", f"X-Refers-To-Page: {first['id']}"]
     content = http + body
     return "\r\n".join([*head, f"Content-Length: {len(content)}", "", ""]).encode() + content + b"\r\n\r\n"
 
@@ -72,17 +85,23 @@ def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return fs, path
 
 
-def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ts_col: str | None = None, crawl_ts: str = "2024-01-01T00:00:00Z", revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """``page_id, url, ts, payload, payload_bytes, payload_digest, first_id``: ``first_id`` is the smallest id of its payload."""
+def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ts_col: str | None = None, crawl_ts: str = "2024-01-01T00:00:00Z", revisit_bytes: int = REVISIT_BYTES, most_shared: int = MOST_SHARED) -> DataFrame:
+    """``page_id, url, ts, payload, payload_bytes, payload_digest, first``: the id, url and ts of the capture with the
+    smallest id of its payload, null for payloads that occur once."""
     src = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"),
-        (F.date_format(F.col(ts_col), "yyyy-MM-dd'T'HH:mm:ss'Z'") if ts_col else F.lit(crawl_ts)).alias("ts"),
+        F.coalesce(F.date_format(F.col(ts_col), "yyyy-MM-dd'T'HH:mm:ss'Z'") if ts_col else F.lit(None).cast("string"), F.lit(crawl_ts)).alias("ts"),
         F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"),
     )
     src = src.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
     # Only payloads that occur more than once are kept, each once; a hot one is a single row here.
-    shared = src.where(F.col("payload_bytes") >= revisit_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return common.join_unique(src, common.materialise(shared, "warc-shared"), "payload_digest")
+    first = F.when(F.col("page_id").isNotNull(), F.struct(F.col("page_id").alias("id"), "url", "ts"))
+    shared = src.where(F.col("payload_bytes") >= revisit_bytes).groupBy(F.unhex("payload_digest").alias("_digest")).agg(F.min(first).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = common.materialise(shared, "warc-shared")
+    src = src.withColumn("_digest", F.unhex("payload_digest"))
+    if shared.count() <= most_shared:
+        return src.join(F.broadcast(shared), "_digest", "left").drop("_digest")
+    return common.join_unique(src, shared, "_digest").drop("_digest")
 
 
 def write_archives(rows: DataFrame, folder: str, most_bytes: int = 256 << 20) -> DataFrame:
@@ -108,8 +127,8 @@ def write_archives(rows: DataFrame, folder: str, most_bytes: int = 256 << 20) ->
 
         for b in batches:
             for r in b.to_pylist():
-                revisit = r["first_id"] is not None and r["page_id"] != r["first_id"]
-                raw = _record("revisit" if revisit else "response", r["url"], r["ts"], r["page_id"], r["payload"], r["payload_digest"], r["payload_bytes"], r["first_id"] if revisit else None)
+                revisit = r["first"] is not None and r["page_id"] != r["first"]["id"]
+                raw = _record("revisit" if revisit else "response", r["url"], r["ts"], r["page_id"], r["payload"], r["payload_digest"], r["payload_bytes"], r["first"])
                 if out is None:
                     out, size = fs.open_output_stream(f"{root}/.{part}-{attempt}", compression=None), 0
                 member = gzip.compress(raw, 3, mtime=0)
@@ -122,7 +141,7 @@ def write_archives(rows: DataFrame, folder: str, most_bytes: int = 256 << 20) ->
             close()
         yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.string()), pa.array([s for _, s in done], pa.int64())], ["file", "bytes"])
 
-    return rows.select("page_id", "url", "ts", "payload", "payload_bytes", "payload_digest", "first_id").mapInArrow(common.trimmed(run), "file string, bytes bigint")
+    return rows.select("page_id", "url", "ts", "payload", "payload_bytes", "payload_digest", "first").mapInArrow(common.trimmed(run), "file string, bytes bigint")
 
 
 def _members(f: io.RawIOBase) -> Iterator[tuple[int, int, bytes]]:
