@@ -37,8 +37,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bench = decontam.load_benchmark(common.table(spark, sf_dir, "benchmark"))
-    return decontam.scan(common.table(spark, sf_dir, "documents"), bench)
+    return decontam.scan(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
