@@ -29,9 +29,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share a window of eight words with any benchmark item go."""
-    bench = decontam.load_benchmark(common.table(spark, sf_dir, "benchmark"))
-    return docs.where(decontam.hit_items(docs, bench) == 0)
+    """Documents that share a window of eight words with any benchmark item go; null and wordless texts stay."""
+    return decontam.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
