@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset, a private one, which only suits a local session."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("a cluster must name its shared folder in spark.checkpoint.dir")
         local = tempfile.mkdtemp(prefix="factloom-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         base = f"file://{local}"

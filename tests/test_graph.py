@@ -2,10 +2,11 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom import schema, synth
 from factloom.graph import GraphError, apply_overlay, check_overlay, checksum, compact, compile_graph, edge_changes
-from factloom.operators import components, diff, export, lookup, stats, traverse, vector
+from factloom.operators import answers, components, diff, export, lookup, stats, traverse, vector
 from factloom.plans.protocol import QuerySession, operations
 from tests import graphs
 
@@ -249,3 +250,41 @@ def test_unresolved_and_empty_graph(spark):
     g = graphs.build(spark, [("1", "file", "a", "a")], [])
     assert traverse.reachability(g, [0]).count() == 1 and components.summary(g)[1].count() == 0
     assert compile_graph(graphs.fact_set(spark, [], [])).nodes.count() == 0
+
+
+def test_compare_overlay_and_answers(spark, tmp_path):
+    n = 60
+    base = synth.synthetic(spark, "modular", n, 300, 1).withColumn("relation", F.lit("calls"))
+    nodes = spark.range(n).select(F.col("id").cast("int").alias("node_id"))
+    base.cache()
+    made = {}
+    for s in ("hub", "percentage"):
+        added, removed = synth.mutate(base.drop("relation"), n, s, 5, 1)
+        made[s] = tuple(df.withColumn("relation", F.lit("calls")).cache() for df in (added, base.join(removed, ["src", "dst", "code"], "left_semi").drop("relation")))
+    asked = nodes.select(F.lit("all").alias("workload"), F.col("node_id").alias("node"))
+    got = synth.compare_overlay(nodes, base, made, asked, f"file://{tmp_path}/o").collect()
+    assert len(got) == 4 and all(r["same"] and r["rows"] == r["rebuilt_rows"] == 300 for r in got)
+    view = synth.answers(base, asked).collect()
+    other = synth.answers(base.withColumn("code", (F.col("code") % 32 + 1).cast("short")), asked).collect()
+    assert {r["rows"] for r in view} == {r["rows"] for r in other} == {300} and {r["fingerprint"] for r in view}.isdisjoint(r["fingerprint"] for r in other)
+
+
+def test_walks_are_bounded(spark, dense, monkeypatch):
+    monkeypatch.setattr(traverse, "WALK_EDGES", 1)
+    with pytest.raises(GraphError, match="edges lie between the ends"):
+        traverse.paths(dense, 1, 4).collect()
+    monkeypatch.undo()
+    assert traverse.entry_chain(dense, 4, [2, 1, 3])["entry_node_id"] == 2
+    assert traverse.entry_chain(dense, 4, []) is None and traverse.entry_chain(dense, 4, [6]) is None
+
+
+def test_answer_scores(spark):
+    a = spark.createDataFrame([(1, "c", 'In A\\B.py, class Foo.\nEVIDENCE_JSON: {"x": 1}\nsee a/b.py:3-9'), (2, "c", "EVIDENCE_JSON: [1]\na/b.py:1 forbidden"), (3, "c", None)], "run_id int, case_id string, answer string")
+    e = spark.createDataFrame([("c", "ownership", "a/b.py:3", ["foo", "bar"]), ("c", "required", "a\\b.py", []), ("c", "required", "", None), ("c", "structural", "a/b.py", ["missing"])], "case_id string, `group` string, path string, symbols array<string>")
+    f = spark.createDataFrame([("c", "Forbidden")], "case_id string, pattern string")
+    o = spark.createDataFrame([("c", "names class", ["CLASS", "type"])], "case_id string, label string, any array<string>")
+    got = {r["run_id"]: r for r in answers.score_answers(a, e, f, o).collect()}
+    assert [got[1][f"{g}_recovered"] for g in answers.GROUPS] == [1, 1, 0] and [got[1][f"{g}_total"] for g in answers.GROUPS] == [1, 2, 1]
+    assert got[1]["correct"] and got[1]["evidence_valid"] and got[1]["citation_count"] == 1
+    assert got[2]["forbidden_hits"] == ["Forbidden"] and got[2]["outcome_missing"] == ["names class"] and not got[2]["evidence_valid"] and not got[2]["correct"]
+    assert got[3]["ownership_recovered"] == 0 and not got[3]["correct"]
