@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import gc
 import shutil
 import tempfile
 import uuid
@@ -21,9 +20,11 @@ ARROW_BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a private local one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a private one for a local session only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("a cluster must name its shared folder in spark.checkpoint.dir")
         local = tempfile.mkdtemp(prefix="factloom-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         base = f"file://{local}"
@@ -54,15 +55,6 @@ def discard(*frames: DataFrame) -> None:
                 at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Have the driver drop plans that are no longer held; Spark then deletes their shuffle files on the executors.
-
-    Loops over many short jobs would else keep them until the driver happens to run a full collection.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def arrow_limits(spark: SparkSession) -> None:
     """Bound the bytes of one Arrow batch, so that very long texts don't pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))

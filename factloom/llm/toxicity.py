@@ -70,8 +70,11 @@ def _logit(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray,
         r = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
         g = np.concatenate((np.bincount(cols, weights=r[rows], minlength=dim), r @ extra, [r.sum()]))
         g[:-1] += l2 * v[:-1]
-        nxt, t1 = v - step * g / scale, (1 + np.sqrt(1 + 4 * t * t)) / 2
+        move = step * g / scale
+        nxt, t1 = v - move, (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, w, t = nxt + (t - 1) / t1 * (nxt - w), nxt, t1
+        if np.abs(move).max() < 1e-5:
+            break
     return w
 
 
