@@ -3,7 +3,9 @@
 Categories are predicted in order. Model k sees the words of the text and the log-odds of categories 1 to k-1; while
 training, those log-odds come from models that never saw the row (out-of-fold), so later models learn from the same
 kind of input that they get when predicting. The vocabulary has every word whose presence depends on a category by a
-G-test at the level ``LEAST_G``, over the whole sample; there is no cap on their number.
+G-test at the level ``LEAST_G``, over the whole sample; there is no cap on their number. A model's penalty on a word's
+weight is ``PENALTY`` times the largest G statistic over the word's own, so the many words that only just pass hardly
+count.
 
 The sample is bounded (``most_labelled`` rows, those with the smallest id hashes), and so are the vocabulary found in
 it and the broadcast model; prediction reads whole texts.
@@ -17,7 +19,6 @@ results; an empty table gives no rows; other columns are not read, whatever thei
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,6 +37,8 @@ CHAIN = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 FOLDS = 5
 #: Least value of the G statistic of a chosen word; of words that don't matter, one in a thousand reaches it.
 LEAST_G = 10.83
+#: Penalties: of the word with the largest G statistic, and of an earlier category's log-odds.
+PENALTY, CHAIN_PENALTY = 0.03, 0.1
 
 
 @dataclass
@@ -55,10 +58,12 @@ class Model:
         return [1 / (1 + np.exp(-min(30.0, max(-30.0, z)))) for z in logits]
 
 
-def _logit(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, dim: int, l2: float = 0.1, rounds: int = 250) -> np.ndarray:
-    """Logistic regression over sparse 0/1 words and dense extra columns, by accelerated scaled gradients."""
+def _logit(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, dim: int, l2: np.ndarray, rounds: int = 250) -> np.ndarray:
+    """Logistic regression over sparse 0/1 words and dense extra columns, by accelerated scaled gradients; ``l2`` is the
+    penalty of each word."""
     n, k = len(y), extra.shape[1]
-    scale = np.concatenate((np.bincount(cols, minlength=dim), (extra**2).sum(0), [n])) / 4 + l2
+    l2 = np.concatenate((l2, np.full(k, CHAIN_PENALTY)))
+    scale = np.concatenate((np.bincount(cols, minlength=dim), (extra**2).sum(0), [n])) / 4 + np.append(l2, 0.0)
     w = np.zeros(dim + k + 1)
     p = min(max(y.mean(), 1e-4), 1 - 1e-4)
     w[-1] = np.log(p / (1 - p))
@@ -82,19 +87,21 @@ def _margin(w: np.ndarray, rows: np.ndarray, cols: np.ndarray, extra: np.ndarray
     return np.bincount(rows, weights=w[cols], minlength=n) + extra @ w[dim:-1] + w[-1]
 
 
-def fit_chain(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, fold: np.ndarray, dim: int) -> list[np.ndarray]:
-    """Weights for each column of ``labels``; row i has word j for each (rows, cols) pair (i, j)."""
+def fit_chain(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, fold: np.ndarray, dim: int, penalty: np.ndarray | None = None) -> list[np.ndarray]:
+    """Weights for each column of ``labels``; row i has word j for each (rows, cols) pair (i, j). ``penalty`` has one
+    for each word and column."""
+    penalty = np.full((dim, labels.shape[1]), CHAIN_PENALTY) if penalty is None else penalty
     n, out, extra = len(labels), [], np.zeros((len(labels), 0))
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(float)
-        out.append(_logit(rows, cols, extra, y, dim))
+        out.append(_logit(rows, cols, extra, y, dim, penalty[:, k]))
         if k + 1 < labels.shape[1]:
             oof = np.zeros(n)
             for f in range(FOLDS):
                 inside, keep = fold != f, fold[rows] != f
                 number = np.cumsum(inside) - 1
                 if inside.any() and not inside.all():
-                    w = _logit(number[rows[keep]], cols[keep], extra[inside], y[inside], dim)
+                    w = _logit(number[rows[keep]], cols[keep], extra[inside], y[inside], dim, penalty[:, k])
                     oof[~inside] = _margin(w, rows, cols, extra, n, dim)[~inside]
             extra = np.column_stack((extra, oof))
     return out
@@ -125,8 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, id_co
     if not n:
         return Model(names)
     by_word = held.select(F.explode("words").alias("w"), *ys).groupBy("w").agg(F.count("*").alias("df"), *[F.sum(y).alias(y) for y in ys])
-    vocab: dict[bytes, int] = {}
-    tests: list[Column] = []
+    tests: dict[str, Column] = {}
     for y, p in zip(ys, pos, strict=True):
 
         def part(seen: Column, expected: Column) -> Column:
@@ -135,12 +141,13 @@ def fit(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, id_co
         a, df = F.col(y).cast("double"), F.col("df").cast("double")
         cells = [(a, df * p / n), (df - a, df * (n - p) / n), (p - a, (n - df) * p / n), (n - p - df + a, (n - df) * (n - p) / n)]
         g = 2 * sum((part(s, F.greatest(e, F.lit(1e-9))) for s, e in cells), F.lit(0.0))
-        tests.append(F.round(g, 9) >= least_g)
+        tests[f"g_{y}"] = F.round(g, 9)
+    matter = by_word.select("w", *[g.alias(name) for name, g in tests.items()]).where(F.greatest(*tests, F.lit(0.0)) >= least_g)
     # as many as the bounded sample has words that matter
-    for w in sorted(bytes(r["w"]) for r in by_word.where(functools.reduce(Column.__or__, tests)).select("w").collect()):
-        vocab[w] = len(vocab)
-    if not vocab:
-        vocab[b""] = 0
+    chosen_words = sorted((bytes(r["w"]), *r[1:]) for r in matter.collect()) or [(b"", *[0.0] * len(names))]
+    vocab = {r[0]: i for i, r in enumerate(chosen_words)}
+    g = np.maximum(np.array([r[1:] for r in chosen_words], float), 1.0)
+    penalty = PENALTY * g.max(0) / g
     words_held = spark.sparkContext.broadcast(vocab)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, id_co
     y = np.array([[r[c] for c in ys] for r in got])
     # copies of a text share a fold, else a fold would be predicted from its own copies
     fold = np.array([zlib.crc32(bytes(r["at"])) % FOLDS for r in got])
-    return Model(names, vocab, fit_chain(rows, cols, y, fold, len(vocab)))
+    return Model(names, vocab, fit_chain(rows, cols, y, fold, len(vocab), penalty))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:

@@ -432,11 +432,13 @@ def test_toxicity_against_brute_force(spark):
     """The words, every model's optimum, the out-of-fold inputs and the predictions, each found again by plain means."""
     rnd = random.Random(4)
     rows = []
-    for i in range(160):
+    for i in range(500):
         low, toxic = rnd.random() < 0.4, rnd.random() < 0.3
-        w = [rnd.choice(("one", "two", "three", "four")) for _ in range(4)] + (["Junk"] if low and rnd.random() < 0.9 else []) + (["vile"] if toxic and rnd.random() < 0.9 else []) + (["nasty"] if toxic and low else [])
+        w = [rnd.choice(("one", "two", "three", "four")) for _ in range(4)]
+        for kind, on in (("Junk", low), ("vile", toxic), ("nasty", toxic and low)):
+            w += [kind + rnd.choice("abcde") for _ in range(3) if rnd.random() < (0.6 if on else 0.05)]
         rows.append((i, " ".join(w), int(not low), int(toxic)))
-    rows += [(200, None, 1, 0), (201, "", 1, 0), (202, "Junk " * 30_000, 0, 0), (7, rows[7][1], 1, 0)]
+    rows += [(900, None, 1, 0), (901, "", 1, 0), (902, "Junka " * 30_000, 0, 0), (7, rows[7][1], 1, 0)]
     docs = docs_of(spark, [r[:2] for r in rows])
     labels = spark.createDataFrame([(i, q, t, "x") for i, _, q, t in rows] + [(None, 1, 1, "x"), (3, None, None, "x")], "doc_id long, quality int, toxic int, text string")
     model = toxicity.fit(docs, labels)
@@ -452,34 +454,42 @@ def test_toxicity_against_brute_force(spark):
         return 2 * sum(c * math.log(c * n / (side[a] * flag[b])) for (a, b), c in cells.items())
 
     want = sorted(w for w in set().union(*(w for w, _ in data)) if max(g_test(w, k) for k in (0, 1)) >= toxicity.LEAST_G)
-    assert list(model.vocab) == want and {b"junk", b"vile", b"nasty"} <= set(want)
+    assert list(model.vocab) == want and {b"junka", b"vileb", b"nastyc"} <= set(want)
     x = np.array([[w in ws for w in want] for ws, _ in data], float)
     lists = [[j for j, w in enumerate(want) if w in ws] for ws, _ in data]
     fold = np.array([zlib.crc32(np.array([model.vocab[w] for w in sorted(ws) if w in model.vocab], np.int32).tobytes()) % toxicity.FOLDS for ws, _ in data])
     assert [sorted(v) for v in lists] == lists
 
-    def newton(x, y):
-        """The regularised optimum by Newton's method over dense columns."""
+    g = [[max(g_test(w, k), 1) for w in want] for k in (0, 1)]
+    penalty = [[toxicity.PENALTY * max(x) / v for v in x] for x in g]
+
+    def newton(x, y, l2, fitted=None):
+        """The regularised optimum by Newton's method over dense columns; what was ``fitted`` must cost hardly more."""
         z = np.column_stack((x, np.ones(len(x))))
-        ridge = np.diag([0.1] * x.shape[1] + [0.0])
+        ridge = np.diag([*l2, 0.0])
         w = np.zeros(z.shape[1])
-        for _ in range(50):
+        cost = lambda w: np.logaddexp(0, z @ w).sum() - y @ (z @ w) + w @ ridge @ w / 2
+        for _ in range(60):
             p = 1 / (1 + np.exp(-z @ w))
-            w -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (p - y) + ridge @ w)
+            move = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge + 1e-12 * np.eye(len(w)), z.T @ (p - y) + ridge @ w)
+            while np.abs(move).max() > 1e-10 and cost(w - move) > cost(w):
+                move /= 2
+            w = w - move
+        assert cost(np.asarray(fitted if fitted is not None else w)) <= cost(w) + 0.02
         return w
 
     y = np.array([f for _, f in data], float)
     oof = np.zeros(n)
     for f in range(toxicity.FOLDS):
-        w = newton(x[fold != f], y[fold != f, 0])
+        w = newton(x[fold != f], y[fold != f, 0], penalty[0])
         oof[fold == f] = x[fold == f] @ w[:-1] + w[-1]
-    first, second = newton(x, y[:, 0]), newton(np.column_stack((x, oof)), y[:, 1])
-    assert np.allclose(model.weights[0], first, atol=2e-3) and np.allclose(model.weights[1], second, atol=2e-3)
+    first = newton(x, y[:, 0], penalty[0], model.weights[0])
+    second = newton(np.column_stack((x, oof)), y[:, 1], [*penalty[1], toxicity.CHAIN_PENALTY], model.weights[1])
     for r in docs.select("text", toxicity.predict(docs, model).alias("p")).collect():
         v = np.array([w in toxicity.words(r["text"]) for w in want], float)
         a = v @ first[:-1] + first[-1]
         b = v @ second[:-2] + second[-2] * a + second[-1]
-        assert np.allclose([r["p"]["low_quality"], r["p"]["toxic"]], [1 / (1 + math.exp(-a)), 1 / (1 + math.exp(-b))], atol=2e-3)
+        assert np.allclose([r["p"]["low_quality"], r["p"]["toxic"]], [1 / (1 + math.exp(-a)), 1 / (1 + math.exp(-b))], atol=2e-2)
 
 
 def test_chain_uses_out_of_fold_predictions():
