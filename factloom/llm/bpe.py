@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Pieces in a worker's table from which on those go that no later batch had, and the longest piece that is kept.
-CACHE_PIECES, CACHE_PIECE_BYTES = 150_000, 48
+CACHE_PIECES, CACHE_PIECE_BYTES = 100_000, 48
 #: The split pattern for which texts may be cut as the module says.
 GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
