@@ -120,12 +120,14 @@ def w4_pages(spark, d):
     return spark.createDataFrame(out, "offset long, total long, next_offset long, rows long")
 
 
-@query(sql(f""", ae AS (SELECT src, dst FROM e WHERE relation IN ({ARCH})), be AS (SELECT src AS x, dst AS y FROM ae UNION SELECT dst, src FROM ae),
-  c0(node_id, c) AS (SELECT node_id, node_id FROM n UNION SELECT y, c FROM c0 JOIN be ON x = node_id WHERE c < y), comp AS (SELECT node_id, min(c) AS component FROM c0 GROUP BY node_id)
+@query(sql(f""", sel AS MATERIALIZED (SELECT node_id FROM n WHERE path = 'r1' OR starts_with(path, 'r1/')),
+  ae AS (SELECT src, dst FROM e WHERE relation IN ({ARCH}) AND src IN (FROM sel) AND dst IN (FROM sel)), be AS MATERIALIZED (SELECT src AS x, dst AS y FROM ae UNION SELECT dst, src FROM ae),
+  c0(node_id, c) USING KEY (node_id) AS (SELECT node_id, node_id FROM sel UNION (SELECT o.node_id, min(v.c) FROM recurring.c0 o JOIN be ON x = o.node_id JOIN c0 v ON v.node_id = y WHERE v.c < o.c GROUP BY o.node_id)),
+  comp AS (SELECT node_id, c AS component FROM c0)
   SELECT component, count(*) AS nodes FROM comp GROUP BY component HAVING count(*) >= 2 ORDER BY nodes DESC, component LIMIT 1000"""))
 def g16_architecture(spark, d):
-    """The default relations over the whole graph."""
-    return components.summary(graph(spark, d), None, None, 2, 1000)[1].select("component", "nodes")
+    """The default relations among all nodes below a path."""
+    return components.summary(graph(spark, d), "r1", None, 2, 1000)[1].select("component", "nodes")
 
 
 @query(sql("""SELECT 'view' AS what, count(*) AS rows, sum(CAST(src AS BIGINT) * 7 + dst + code) AS s FROM (SELECT src, dst, code FROM e WHERE NOT (relation = 'references' AND (src + dst) % 5 = 0) UNION ALL SELECT dst, src, 24 FROM e WHERE relation = 'calls' AND (src + dst) % 3 = 0)"""))
