@@ -178,12 +178,10 @@ def test_near_duplicates_lose_no_link_in_a_crowd_of_pairs(spark):
     assert all(r["component_id"] == r["doc_id"] - r["doc_id"] % 2 for r in got) and len(got) == 1200
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_near_duplicates_by_shuffle_and_in_blocks(spark, monkeypatch, small):
+def test_near_duplicates_by_shuffle_and_in_blocks(spark, monkeypatch):
     """Shuffled instead of broadcast, blocks of few classes, sets in blocks: the same result."""
-    if small:
-        for name, value in (("BROADCAST_ROWS", 0), ("LOCAL_EDGES", 0), ("CROWD", 64), ("SETS", 8), ("HUB", 2), ("FEW", 1), ("BLOCK", 8)):
-            monkeypatch.setattr(minhash, name, value)
+    for name, value in (("BROADCAST_ROWS", 0), ("LOCAL_EDGES", 0), ("CROWD", 64), ("SETS", 8), ("HUB", 2), ("FEW", 1), ("BLOCK", 8)):
+        monkeypatch.setattr(minhash, name, value)
     rnd = random.Random(11)
     w = [f"t{i}" for i in range(120)]
     rows = near_rows(4, 20) + [(1000 + i, " ".join(changed(w, set(rnd.sample(range(120), rnd.choice((2, 9)))), f"c{i}"))) for i in range(150)]
