@@ -36,7 +36,7 @@ def reconcile(evidence: DataFrame, g: Graph, complete_sources: DataFrame | None
     ids = g.nodes.select("key", "node_id")
     e = evidence.groupBy("source", "target", "external_target", "relation").agg(F.sum("count").alias("count"))
     e = e.join(ids.toDF("source", "src"), "source", "left").join(ids.toDF("target", "dst"), "target", "left")
-    static = g.edges.select("src", "dst", F.col("relation").alias("static")).groupBy("src", "dst").agg(F.max((F.col("static") == "calls").cast("int")).alias("sure"), F.max((F.col("static") == "possible-calls").cast("int")).alias("maybe"))
+    static = g.edges_of(("calls", "possible-calls")).select("src", "dst", F.col("relation").alias("static")).groupBy("src", "dst").agg(F.max((F.col("static") == "calls").cast("int")).alias("sure"), F.max((F.col("static") == "possible-calls").cast("int")).alias("maybe"))
     m = e.join(static, ["src", "dst"], "left")
     category = (
         F.when(F.col("external_target").isNotNull(), "external").when(F.col("src").isNull() | F.col("dst").isNull(), "unmapped")
@@ -45,7 +45,7 @@ def reconcile(evidence: DataFrame, g: Graph, complete_sources: DataFrame | None
     out = m.select("source", "target", "external_target", "relation", category.alias("category"), "count")
     if complete_sources is None:
         return out
-    calls = g.edges.where("relation = 'calls'").select("src", "dst").join(ids.toDF("source", "src"), "src").join(ids.toDF("target", "dst"), "dst").join(complete_sources.select("source"), "source", "left_semi")
+    calls = g.edges_of(("calls",)).select("src", "dst").join(ids.toDF("source", "src"), "src").join(ids.toDF("target", "dst"), "dst").join(complete_sources.select("source"), "source", "left_semi")
     quiet = calls.join(evidence.select("source", "target").distinct(), ["source", "target"], "left_anti")
     return out.unionByName(quiet.select("source", "target", F.lit(None).cast("string").alias("external_target"), F.lit("calls").alias("relation"), F.lit("unobserved").alias("category"), F.lit(0).cast("long").alias("count")))
 
