@@ -34,8 +34,9 @@ def _hook(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
 def components(vertices: DataFrame, edges: DataFrame, size: int | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``node_id, component``: the smallest id of the component; ``vertices(node_id)``, ``edges(src, dst)`` among them.
 
-    Up to ``local_edges`` (``size`` proves it) one task hooks and jumps over arrays. Beyond that, minimum labels
-    spread along edges and through labels until none changes, each round a written table.
+    Up to ``local_edges`` (``size`` proves it) one task hooks and jumps over arrays. Beyond that, each
+    round gives every vertex its smallest neighbour or itself and draws the edges between these (the smallest vertex of
+    a component stays to the end), so that the tables shrink; labels are then followed back, last round first.
     """
     if size is not None and size <= local_edges:
 
@@ -51,19 +52,23 @@ def components(vertices: DataFrame, edges: DataFrame, size: int | None = None, l
 
         joined = edges.select("src", "dst").coalesce(1).mapInArrow(run, "node_id int, component int")
         return vertices.join(joined, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct()
-    both = materialise(both, "wcc-edges")
-    label = materialise(vertices.select("node_id", F.col("node_id").alias("component")), "wcc")
-    while True:
-        near = both.join(label, both["dst"] == label["node_id"]).groupBy("src").agg(F.min("component").alias("low"))
-        new = label.join(near, label["node_id"] == near["src"], "left").select("node_id", F.least("component", F.coalesce("low", "component")).alias("component"))
-        new = materialise(new, "wcc")
-        jump = new.select(F.col("node_id").alias("component"), F.col("component").alias("next"))
-        new = materialise(new.join(jump, "component", "left").select("node_id", F.coalesce("next", "component").alias("component")), "wcc")
-        changed = new.join(label.select("node_id", F.col("component").alias("old")), "node_id").where("component != old")
-        if changed.isEmpty():
-            return new
-        label = new
+
+    def pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+        return materialise(df.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "wcc-edges")
+
+    e, rounds = pairs(edges, "src", "dst"), []
+    while not e.isEmpty():
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("low")), "wcc")
+        rounds.append(low)
+        e = pairs(e.join(low.toDF("u", "_u"), "u").join(low.toDF("v", "_v"), "v"), "_u", "_v")
+    if not rounds:
+        return vertices.select("node_id", F.col("node_id").alias("component"))
+    label = rounds.pop()
+    while rounds:
+        further = label.toDF("low", "next")
+        label = materialise(rounds.pop().join(further, "low", "left").select("u", F.coalesce("next", "low").alias("low")), "wcc")
+    return vertices.join(label.toDF("node_id", "component"), "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
 def summary(g: Graph, path_prefix: str | None = None, relations=None, min_size: int = 2, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -74,7 +79,7 @@ def summary(g: Graph, path_prefix: str | None = None, relations=None, min_size:
     """
     relations = require_relations(relations) or require_relations(schema.ARCHITECTURE_RELATIONS)
     n = selected(g, None, path_prefix)
-    e = g.edges.where(F.col("relation").isin(*relations)).select("src", "dst", "relation")
+    e = g.edges_of(relations).select("src", "dst", "relation")
     if path_prefix is None:
         inside, boundary = e, e.where("false").withColumn("outgoing", F.lit(True))
     else:
@@ -82,7 +87,7 @@ def summary(g: Graph, path_prefix: str | None = None, relations=None, min_size:
         marked = e.join(marks, "src", "left").join(marks.select(F.col("src").alias("dst"), F.col("s").alias("d")), "dst", "left")
         inside = marked.where("s and d").select("src", "dst", "relation")
         boundary = marked.where("(s is null) != (d is null)").select("src", "dst", "relation", F.col("s").isNotNull().alias("outgoing"))
-    size = sum(g.edge_counts().get(r, 0) for r in relations)
+    size = g.size_of(relations)
     comp = materialise(components(n.select("node_id"), inside, size), "communities")
     of = lambda df, col: df.join(comp.select(F.col("node_id").alias(col), "component"), col)
     ends = inside.select("src", "dst").unionByName(inside.where("src != dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
