@@ -29,6 +29,27 @@ def test_only_asked_relations_are_compiled(spark):
     assert rows(calls) == rows(g.edges.where("relation = 'calls'")) and g.size_of(("calls",)) == g.edge_counts()["calls"] > 1000
 
 
+def test_edges_at_nodes_and_among_pages_are_compiled_alone(spark):
+    workload._GRAPHS.pop((spark.sparkContext.applicationId, SF, 1), None)
+    g = workload.graph(spark, SF)
+    got = {q: rows(QUERIES[q](spark, SF)) for q in ("a4_relation_counts", "g10_operational_role", "g12_export_graph")}
+    hub = g.nodes.where("kind = 'directory'").agg(F.min("node_id")).first()[0]
+    near, page = rows(g.edges_at([hub, 7, -1])), g.nodes.where("node_id < 900").select("node_id")
+    among = rows(g.edges_among(page))
+    assert "edges" not in vars(g)
+    assert near == rows(g.edges.where(F.col("src").isin(hub, 7) | F.col("dst").isin(hub, 7))) == rows(g.edges_at([hub, 7, -1])) and len(near) > 5
+    assert among == rows(g.edges.where("src < 900 and dst < 900")) == rows(g.edges_among(page)) and len(among) > 100
+    assert got == {q: rows(QUERIES[q](spark, SF)) for q in got} and all(got.values())
+
+
+def test_few_edges_are_sent_to_the_nodes_and_many_are_not(spark, monkeypatch):
+    one = workload.referenced_facts(spark, SF)
+    g = graphs.compile_graph(graphs.FactSet(one.nodes.withColumn("id", F.col("id").cast("string")), one.edges.withColumns({c: F.col(c).cast("string") for c in ("source", "target")}), one.unresolved.withColumn("source", F.col("source").cast("string"))), check=False)
+    few = rows(g.edges_at([3]))
+    monkeypatch.setattr(graphs, "FEW_EDGES", -1)
+    assert few == rows(g.edges_at([3])) == rows(g.edges.where("src = 3 or dst = 3")) != []
+
+
 def test_components_write_tables_that_shrink(spark, monkeypatch):
     n, written = 600, []
     ids = random.Random(4).sample(range(n), n)
