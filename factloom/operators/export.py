@@ -16,6 +16,5 @@ def export_graph(g: Graph, path_prefix: str | None = None, offset: int = 0, limi
     """
     page = selected(g, None, path_prefix).orderBy("node_id").offset(offset).limit(bounded(limit, 1000, 100_000))
     nodes = page.unionByName(g.nodes.where(F.col("node_id").isin(list(pinned)))).distinct() if pinned else page
-    ids = F.broadcast(nodes.select("node_id"))
-    e = g.edges.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    e = g.edges_among(nodes.select("node_id"))
     return nodes, e.select(F.concat_ws(":", "src", "relation", "dst").alias("edge_id"), "src", "dst", "relation").orderBy("src", "dst", "relation")
