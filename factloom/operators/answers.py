@@ -24,24 +24,43 @@ def score_answers(answers: DataFrame, evidence: DataFrame, forbidden: DataFrame,
     ``evidence(case_id, group, path, symbols)``: an item counts if its path and, where it has any, one of its symbols
     occur in the answer (case and direction of slashes don't matter). ``forbidden(case_id, pattern)`` must not occur;
     of each of ``outcomes(case_id, label, any)`` one text must. An answer is correct if no outcome is missing, nothing
-    forbidden occurs, its evidence line holds an object and it cites a file and line.
+    forbidden occurs, its evidence line holds an object and it cites a file and line. What the cases ask is broadcast: it is
+    written by hand, and doesn't grow with the answers.
     """
     _, valid = _evidence(F.col("answer"), prefix)
     hay = F.lower(F.translate(F.coalesce("answer", F.lit("")), "\\", "/"))
     a = answers.select("run_id", "case_id", hay.alias("hay"), F.coalesce(valid, F.lit(False)).alias("evidence_valid"), F.coalesce(F.size(F.regexp_extract_all("answer", F.lit(CITATION), F.lit(0))), F.lit(0)).alias("citation_count"))
+    # what is asked of a case goes to its answers in one row, so that these stay where they are, however many a case has
     path = F.lower(F.regexp_replace(F.trim(F.translate("path", "\\", "/")), r":\d+(?:-\d+)?$", ""))
     symbols = F.filter(F.coalesce("symbols", F.array().cast("array<string>")), lambda s: F.trim(s) != "")
-    items = evidence.select("case_id", "group", path.alias("path"), symbols.alias("symbols"))
-    found = F.col("hay").contains(F.col("path")) & (F.col("path") != "") & ((F.size("symbols") == 0) | F.exists("symbols", lambda s: F.col("hay").contains(F.lower(s))))
-    by = a.join(items, "case_id").groupBy("run_id").agg(*[x for g in GROUPS for x in (F.count_if((F.col("group") == g) & found).alias(f"{g}_recovered"), F.count_if(F.col("group") == g).alias(f"{g}_total"))])
-    bad = a.join(forbidden, "case_id").where(F.col("hay").contains(F.lower("pattern"))).groupBy("run_id").agg(F.array_sort(F.collect_set("pattern")).alias("forbidden_hits"))
-    lack = a.join(outcomes, "case_id").where(~F.exists("any", lambda s: F.col("hay").contains(F.lower(s)))).groupBy("run_id").agg(F.array_sort(F.collect_set("label")).alias("outcome_missing"))
-    none = F.array().cast("array<string>")
-    out = a.drop("hay").join(by, "run_id", "left").join(bad, "run_id", "left").join(lack, "run_id", "left")
-    out = out.fillna(0, [f"{g}_{x}" for g in GROUPS for x in ("recovered", "total")]).withColumns({c: F.coalesce(c, none) for c in ("forbidden_hits", "outcome_missing")})
+    asked = _by_case(evidence, "items", group="group", path=path, symbols=symbols)
+    asked = asked.join(_by_case(forbidden, "bad", pattern="pattern"), "case_id", "full").join(_by_case(outcomes, "needs", label="label", any="any"), "case_id", "full")
+    a = a.join(F.broadcast(asked), "case_id", "left")
+    hay = F.col("hay")
+
+    def recovered(i: Column) -> Column:
+        return hay.contains(i["path"]) & (i["path"] != "") & ((F.size(i["symbols"]) == 0) | F.exists(i["symbols"], lambda s: hay.contains(F.lower(s))))
+
+    def count(group: str, test=lambda i: F.lit(True)) -> Column:
+        return F.coalesce(F.size(F.filter("items", lambda i: (i["group"] == group) & test(i))), F.lit(0)).cast("long")
+
+    def names(items: str, field: str, test) -> Column:
+        hits = F.transform(F.filter(items, lambda i: test(i) & i[field].isNotNull()), lambda i: i[field])
+        return F.coalesce(F.array_sort(F.array_distinct(hits)), F.array().cast("array<string>"))
+
+    sums = [x for g in GROUPS for x in (count(g, recovered).alias(f"{g}_recovered"), count(g).alias(f"{g}_total"))]
+    bad = names("bad", "pattern", lambda i: hay.contains(F.lower(i["pattern"]))).alias("forbidden_hits")
+    lack = names("needs", "label", lambda i: ~F.exists(i["any"], lambda s: hay.contains(F.lower(s)))).alias("outcome_missing")
+    out = a.select("run_id", "case_id", "evidence_valid", "citation_count", *sums, bad, lack)
     return out.withColumn("correct", (F.size("forbidden_hits") == 0) & (F.size("outcome_missing") == 0) & F.col("evidence_valid") & (F.col("citation_count") > 0))
 
 
+def _by_case(df: DataFrame, name: str, **fields: str | Column) -> DataFrame:
+    """``case_id`` and the array of what the case asks."""
+    parts = [(F.col(f"`{c}`") if isinstance(c, str) else c).alias(k) for k, c in fields.items()]
+    return df.groupBy("case_id").agg(F.collect_list(F.struct(*parts)).alias(name))
+
+
 def summarize_runs(runs: DataFrame, measures: list[str], task: str = "task") -> DataFrame:
     """``system``, the task or ``all``: runs, completed and correct ones, sums of recovered items, medians of measures.
 

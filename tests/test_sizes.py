@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom import graph as graphs
 from factloom.graph import Graph, apply_overlay
-from factloom.operators import components, diff, lookup, maintain
+from factloom.operators import answers, components, diff, lookup, maintain
 from factloom.plans import workload
 from factloom.plans.derived import QUERIES
 
@@ -113,3 +113,13 @@ def test_same_nodes_are_not_numbered_again(spark, monkeypatch):
     got = QUERIES["g19_incremental_compile"](spark, SF)
     assert {r["side"] for r in got.select("side").distinct().collect()} == {"added", "removed"}
 
+
+def test_answers_of_one_case_stay_where_they_are(spark):
+    a = spark.createDataFrame([(1, "c", "x/a.py:3 bad"), (2, "d", "bad"), (3, "none", "bad"), (4, None, "bad"), (5, "e", "fine yes")], "run_id int, case_id string, answer string")
+    e = spark.createDataFrame([("c", "required", "x/a.py", ["", None]), ("c", "required", "x/b.py", None), ("d", "structural", "bad", ["BAD"])], "case_id string, `group` string, path string, symbols array<string>")
+    f = spark.createDataFrame([("c", "Bad"), ("c", "BAD"), ("c", "Bad"), ("e", None)], "case_id string, pattern string")
+    o = spark.createDataFrame([("d", "z", ["never"]), ("d", "a", []), ("d", "k", ["BAD"]), ("e", "yes", ["YES", None]), ("e", "open", None)], "case_id string, label string, any array<string>")
+    out = answers.score_answers(a, e, f, o)
+    got = {r["run_id"]: (r["required_recovered"], r["required_total"], r["structural_recovered"], r["forbidden_hits"], r["outcome_missing"]) for r in out.collect()}
+    assert got == {1: (1, 2, 0, ["BAD", "Bad"], []), 2: (0, 0, 1, [], ["a", "z"]), 3: (0, 0, 0, [], []), 4: (0, 0, 0, [], []), 5: (0, 0, 0, [], [])}
+    assert "hashpartitioning(run_id" not in plan(out)
