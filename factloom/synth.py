@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .session import materialise
+
 TOPOLOGIES = tuple("dense-subsystem entangled hub-heavy layered modular".split())
 TIERS = {"small": (10_000, 100_000), "medium": (100_000, 1_000_000), "large": (1_000_000, 10_000_000), "stress": (5_000_000, 50_000_000)}
 
@@ -26,18 +28,48 @@ def permutation(size: int, seed: int) -> tuple[int, int]:
     return step % size or 1, int(rng.integers(0, max(size, 1)))
 
 
+def walked(i: np.ndarray, size: int, step: int, start: int) -> np.ndarray:
+    """``(step * i + start) % size`` without overflow: the first of each run of ``m`` numbers exactly, the others from it."""
+    m = max(1, (1 << 62) // size)
+    run, at = np.unique(i // m, return_inverse=True)
+    first = np.array([(step * m * int(q) + start) % size for q in run], dtype=np.int64)
+    return (first[at] + step * (i % m)) % size
+
+
 def _pairs(spark: SparkSession, count: int, size: int, seed: int, decode) -> DataFrame:
+    """``i, src, dst``: the first ``count`` pairs of the walk, numbered from 0."""
     if count > size:
         raise ValueError(f"{count} edges don't fit in {size} pairs")
     step, start = permutation(size, seed)
 
     @F.pandas_udf("src int, dst int")
     def draw(i: pd.Series) -> pd.DataFrame:
-        at = [(step * int(x) + start) % size for x in i]
-        u, v = decode(np.array(at, dtype=np.int64))
+        u, v = decode(walked(i.to_numpy(), size, step, start))
         return pd.DataFrame({"src": u.astype(np.int32), "dst": v.astype(np.int32)})
 
-    return spark.range(count).select(draw("id").alias("e")).select("e.*")
+    return spark.range(count).select(F.col("id").alias("i"), draw("id").alias("e")).select("i", "e.*")
+
+
+BIN = 65_536
+
+
+def _first_new(draw, most: int, have: DataFrame, n: int) -> DataFrame:
+    """``i, src, dst``: the first ``n`` (all, if fewer) of the pairs ``draw(most)`` that aren't in ``have``. Fewer are
+    drawn first, which nearly always has enough new ones; the end is found by counts of bins, so that only one bin is sorted."""
+    some = min(most, n + n // 8 + 10_000)
+    while True:
+        fresh = materialise(draw(some).join(have, ["src", "dst"], "left_anti"), "fresh")
+        counts = sorted(fresh.groupBy(F.floor(F.col("i") / BIN).alias("b")).count().collect())
+        if some == most or sum(c for _, c in counts) >= n:
+            break
+        some = most
+    before = 0
+    for b, c in counts:
+        if before + c > n:
+            last = fresh.where(F.col("i").between(b * BIN, (b + 1) * BIN - 1)).orderBy("i").limit(n - before)
+            return fresh.where(F.col("i") < b * BIN).unionByName(last).select("i", "src", "dst")
+        before += c
+    return fresh.select("i", "src", "dst")
 
 
 def _ordered(n: int):
@@ -83,15 +115,12 @@ def synthetic(spark: SparkSession, topology: str, nodes: int, edges: int, seed:
         plan = [(min(edges // 2, n), n, decode)]
     else:
         raise ValueError(f"unknown topology {topology}")
-    out = _pairs(spark, *plan[0][:2], seed, plan[0][2])
+    out = _pairs(spark, *plan[0][:2], seed, plan[0][2]).drop("i")
     left = edges - plan[0][0]
     if left:
-        have = out
-        # so many draws that enough are new even if every edge so far is among them
-        more = _pairs(spark, min(size, left + plan[0][0]), size, seed + 1, anywhere).withColumn("i", F.monotonically_increasing_id())
-        fresh = more.join(have, ["src", "dst"], "left_anti")
-        # the order of drawing decides which stay
-        out = out.unionByName(fresh.orderBy("i").limit(left).select("src", "dst"))
+        # so many draws that enough are new even if every edge so far is among them; their order decides which stay
+        more = _first_new(lambda k: _pairs(spark, k, size, seed + 1, anywhere), min(size, left + plan[0][0]), out, left)
+        out = out.unionByName(more.select("src", "dst"))
     return out.withColumn("code", (F.pmod(F.xxhash64("src", "dst"), F.lit(32)) + 1).cast("short"))
 
 
@@ -102,6 +131,8 @@ def mutate(edges: DataFrame, node_count: int, selection: str, amount: int | floa
     ``amount`` nodes by hash, ``hub`` the node of the largest degree, ``percentage`` a share of the edges.
     """
     spark = edges.sparkSession
+    # written once: it is read for degrees, removals and additions
+    edges = materialise(edges, "edges")
     if selection == "percentage":
         k = max(1, round(edges.count() * float(amount) / 100))
         removed = edges.orderBy(F.xxhash64("src", "dst", F.lit(seed)), "src", "dst").limit(k)
@@ -118,11 +149,12 @@ def mutate(edges: DataFrame, node_count: int, selection: str, amount: int | floa
             chosen = ends.orderBy(F.xxhash64("n", F.lit(seed)), "n").limit(int(amount))
         else:
             raise ValueError(f"unknown selection {selection}")
-        removed = edges.join(chosen.select(F.col("n").alias("src")), "src", "left_semi").unionByName(edges.join(chosen.select(F.col("n").alias("dst")), "dst", "left_semi").select(*edges.columns)).distinct()
+        # ids of at most ``amount`` nodes
+        chosen = F.broadcast(materialise(chosen.select("n"), "chosen"))
+        removed = edges.join(chosen.toDF("src"), "src", "left_semi").unionByName(edges.join(chosen.toDF("dst"), "dst", "left_semi").select(*edges.columns)).distinct()
     k = removed.count()
     size, anywhere = _ordered(node_count)
-    drawn = _pairs(spark, min(size, 2 * k + edges.count()), size, seed + 7, anywhere).withColumn("i", F.monotonically_increasing_id())
-    fresh = drawn.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti").orderBy("i").limit(k)
+    fresh = _first_new(lambda n: _pairs(spark, n, size, seed + 7, anywhere), min(size, 2 * k + edges.count()), edges.select("src", "dst"), k)
     number = F.row_number().over(Window.orderBy("i"))
     codes = removed.select("code").withColumn("r", F.row_number().over(Window.orderBy("code")))
     added = fresh.withColumn("r", number).join(codes, "r").select("src", "dst", "code")

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from factloom import graph as graphs
+from factloom import synth
 from factloom.graph import Graph, apply_overlay
 from factloom.operators import answers, components, diff, lookup, maintain
 from factloom.plans import workload
@@ -123,3 +125,18 @@ def test_answers_of_one_case_stay_where_they_are(spark):
     got = {r["run_id"]: (r["required_recovered"], r["required_total"], r["structural_recovered"], r["forbidden_hits"], r["outcome_missing"]) for r in out.collect()}
     assert got == {1: (1, 2, 0, ["BAD", "Bad"], []), 2: (0, 0, 1, [], ["a", "z"]), 3: (0, 0, 0, [], []), 4: (0, 0, 0, [], []), 5: (0, 0, 0, [], [])}
     assert "hashpartitioning(run_id" not in plan(out)
+
+
+def test_draws_are_walked_in_arrays_and_first_ones_found_by_bins(spark, monkeypatch):
+    for size in (7, 10**6, 10**13 + 37, (1 << 61) + 1):
+        step, start = synth.permutation(size, 4)
+        i = [0, 1, 5, 6, 10**4, 10**8 + 3]
+        assert synth.walked(np.array(i), size, step, start).tolist() == [(step * x + start) % size for x in i]
+    monkeypatch.setattr(synth, "BIN", 16)
+    draw = lambda k: spark.range(k).select(F.col("id").alias("i"), (F.col("id") % 97).cast("int").alias("src"), F.col("id").cast("int").alias("dst"))
+    have = draw(40_000).where("i % 3 != 0 and i < 30000").select("src", "dst")
+    left = [x for x in range(40_000) if x % 3 == 0 or x >= 30_000]
+    for most, n in ((40_000, 0), (40_000, 1), (40_000, 160), (40_000, 12_000), (300, 1000), (40_000, 19_999)):
+        got = synth._first_new(draw, most, have, n)
+        assert sorted(r["i"] for r in got.collect()) == [x for x in left if x < most][:n]
+    assert "TakeOrdered" not in plan(synth.synthetic(spark, "hub-heavy", 640, 3000, 1).where("src >= 0").groupBy("code").count())
