@@ -32,10 +32,14 @@ def reconcile(evidence: DataFrame, g: Graph, complete_sources: DataFrame | None
     ``confirmed`` has a static edge of the relation, ``possible`` a possible call, ``dynamic`` known ends but no edge,
     ``external`` a target outside, ``unmapped`` an end that no node has. Static calls of ``complete_sources`` without
     evidence are ``unobserved``.
+
+    Evidence may carry ``src`` and ``dst``, the ids of its ends; keys aren't looked up then.
     """
     ids = g.nodes.select("key", "node_id")
-    e = evidence.groupBy("source", "target", "external_target", "relation").agg(F.sum("count").alias("count"))
-    e = e.join(ids.toDF("source", "src"), "source", "left").join(ids.toDF("target", "dst"), "target", "left")
+    given = ["src", "dst"] if {"src", "dst"} <= set(evidence.columns) else []
+    e = evidence.groupBy("source", "target", "external_target", "relation", *given).agg(F.sum("count").alias("count"))
+    if not given:
+        e = e.join(ids.toDF("source", "src"), "source", "left").join(ids.toDF("target", "dst"), "target", "left")
     static = g.edges_of(("calls", "possible-calls")).select("src", "dst", F.col("relation").alias("static")).groupBy("src", "dst").agg(F.max((F.col("static") == "calls").cast("int")).alias("sure"), F.max((F.col("static") == "possible-calls").cast("int")).alias("maybe"))
     m = e.join(static, ["src", "dst"], "left")
     category = (

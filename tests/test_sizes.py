@@ -9,6 +9,7 @@ from factloom import graph as graphs
 from factloom import synth
 from factloom.graph import Graph, apply_overlay
 from factloom.operators import answers, components, diff, lookup, maintain, stats
+from factloom.streaming import evidence
 from factloom.plans import workload
 from factloom.plans.derived import QUERIES
 
@@ -157,3 +158,15 @@ def test_bm25_keeps_the_best_of_each_batch(spark, monkeypatch):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     monkeypatch.setattr(stats, "ASKED", 0)
     assert got == rows(stats.bm25(docs, queries, 5).select(out.columns))
+
+
+def test_reconcile_by_ids_of_ends(spark):
+    g = workload.graph(spark, SF)
+    calls = g.edges_of(("calls",)).limit(5).select("src", "dst")
+    made = calls.unionByName(calls.selectExpr("dst as src", "src as dst")).unionByName(calls).select("*", F.lit("observed-calls").alias("relation"), F.lit(None).cast("string").alias("external_target"), F.lit(2).alias("count"))
+    ids = g.nodes.select("key", "node_id")
+    keyed = made.join(ids.toDF("source", "src"), "src").join(ids.toDF("target", "dst"), "dst")
+    by_key = evidence.reconcile(keyed.drop("src", "dst"), g)
+    by_id = evidence.reconcile(keyed, g)
+    assert rows(by_key) == rows(by_id) and {(r["category"], r["count"]) for r in by_id.collect()} == {("confirmed", 4), ("dynamic", 2)}
+    assert plan(by_id).count("Join") < plan(by_key).count("Join")
